@@ -1,6 +1,7 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
+from .packing import op10_best_fit_packing
 from .sharding import op6_rendezvous_sharding
 
-QUERIES = {f.__name__: f for f in (op6_rendezvous_sharding,)}
+QUERIES = {f.__name__: f for f in (op6_rendezvous_sharding, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
