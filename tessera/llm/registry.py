@@ -1,7 +1,8 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
+from .langid import op1_rank_order_language_id
 from .packing import op10_best_fit_packing
 from .sharding import op6_rendezvous_sharding
 
-QUERIES = {f.__name__: f for f in (op6_rendezvous_sharding, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_rank_order_language_id, op6_rendezvous_sharding, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
