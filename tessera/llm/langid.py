@@ -126,33 +126,31 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
     return Profiles.of(tops, ranks)
 
 
-def identify_languages(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """A row per document: its id (or the columns `keep`), lang_pred, score (0 to 1).
+def identify_languages(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """A row per document: its id (or the columns `keep`) and, named by `into`, the language and the score (0 to 1).
 
     Null and empty texts, and texts without a letter, are `und` with score 0, as is everything where no language was learned.
-    Repeated rows each get their row; other columns are not read, so theirs may be named like the results. Among `keep` a
-    column named lang_pred or score is replaced.
+    Repeated rows each get their row; other columns are not read, so theirs may have any name.
     """
-    keep = [c for c in keep or [id_col] if c not in ("lang_pred", "score")]
-    rows = docs.select(F.col(text_col).cast("string").alias("_text"), *keep)
+    keep = keep or [id_col]
+    rows = docs.select(F.col(text_col).cast("string").alias("_read_text"), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [profiles.predict(x.as_py()) for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*keep, *into])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[1:])
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"{schema}, `{into[0]}` string, `{into[1]}` double")
 
 
 def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The documents in one of the languages that docs itself teaches (all its labelled rows that aren't held out), columns as they were."""
+    """The documents in one of the languages that docs itself teaches (all its labelled rows that aren't held out), columns as they were. Where nothing is labelled all stay."""
     profiles = learn_profiles(docs.filter(~common.held_out()))
-    columns = docs.columns
     if not profiles.languages:
         return docs
-    rated = identify_languages(docs, profiles, keep=columns)
-    return rated.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*columns)
+    rated = identify_languages(docs, profiles, keep=docs.columns, into=("_language", "_nearness"))
+    return rated.filter((F.col("_language") != UNKNOWN) & (F.col("_nearness") >= least)).select(*docs.columns)
 
 
 def op1_rank_order_language_id(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from .langid import op1_rank_order_language_id
 from .packing import op10_best_fit_packing
+from .quality import op8_quality_classifier
 from .sharding import op6_rendezvous_sharding
 
-QUERIES = {f.__name__: f for f in (op1_rank_order_language_id, op6_rendezvous_sharding, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_rank_order_language_id, op6_rendezvous_sharding, op8_quality_classifier, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
