@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -53,12 +53,12 @@ def bounded_sample(rows: DataFrame, key: Column, most: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < cut)
 
 
-def blocks(text: str, size: int = BLOCK_CHARS) -> Iterator[str]:
+def blocks(text: str, size: int = BLOCK_CHARS, space: Callable[[str], bool] = str.isspace) -> Iterator[str]:
     """text in pieces of about `size` characters that end where white space begins; a longer word stays whole."""
     at = 0
     while len(text) - at > size:
         end = at + size
-        while end < len(text) and not text[end].isspace():
+        while end < len(text) and not space(text[end]):
             end += 1
         yield text[at:end]
         at = end

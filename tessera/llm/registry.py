@@ -3,8 +3,9 @@
 from .langid import op1_rank_order_language_id
 from .packing import op10_best_fit_packing
 from .quality import op8_quality_classifier
+from .simhash import op2_simhash_trie_join
 from .toxicity import op4_noisy_or_toxicity
 from .sharding import op6_rendezvous_sharding
 
-QUERIES = {f.__name__: f for f in (op1_rank_order_language_id, op4_noisy_or_toxicity, op6_rendezvous_sharding, op8_quality_classifier, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_rank_order_language_id, op2_simhash_trie_join, op4_noisy_or_toxicity, op6_rendezvous_sharding, op8_quality_classifier, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
