@@ -23,10 +23,12 @@ from .quality import labelled_sample
 #: About so many labelled rows, at most, are learned from.
 SAMPLE = 30_000
 #: Features in the model; those that are rarer than this in toxic documents of the sample are left out before.
-FEATURES, LEAST_DOCS = 4_096, 4
-CANDIDATES = 40_000
+FEATURES, LEAST_DOCS = 1_024, 4
+CANDIDATES = 20_000
+#: Standard errors by which a feature's log odds must lean to toxic documents.
+SURE = 4.0
 #: Steps of the fit and the penalty on weights.
-STEPS, PENALTY = 400, 1e-4
+STEPS, PENALTY = 250, 1e-4
 #: Words whose weight a worker remembers.
 REMEMBERED = 400_000
 
@@ -113,7 +115,7 @@ def document_counts(sample: DataFrame, toxic: bool, wanted: set[str] | None = No
 
 
 def chosen_features(sample: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
-    """The features most surely tied to toxic documents: by log odds ratio over its standard error, above 3."""
+    """The features most surely tied to toxic documents: by log odds ratio over its standard error."""
     first = document_counts(sample, True).filter(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "feature").limit(CANDIDATES).collect()
     toxic = {r["feature"]: r["n"] for r in first}
     clean = {r["feature"]: r["n"] for r in document_counts(sample, False, set(toxic)).collect()}
@@ -122,7 +124,7 @@ def chosen_features(sample: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
         c = clean.get(f, 0)
         odds = np.log((p + 0.5) / (n_toxic - p + 0.5)) - np.log((c + 0.5) / (n_clean - c + 0.5))
         rated.append((-odds / np.sqrt(1 / (p + 0.5) + 1 / (c + 0.5)), f))
-    return [f for z, f in sorted(rated)[:FEATURES] if z < -3.0]
+    return [f for z, f in sorted(rated)[:FEATURES] if z < -SURE]
 
 
 def fit(sample: DataFrame) -> Model:
@@ -137,31 +139,42 @@ def fit(sample: DataFrame) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in batch.column(0).to_pylist():
-                spans = [{f for w in set(WORD.findall(text[a:b].lower())) for f in reader.of(w)} for a, b in sentences(text) if WORD.search(text, a, b)]
-                out.append((sum(not s for s in spans), [sorted(number[f] for f in s) for s in spans if s]))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.list_(pa.list_(pa.int32())))], ["label", "plain", "found"])
-
-    rows = sample.select("text", "label").mapInArrow(run, "label double, plain long, found array<array<int>>").collect()
-    weights, bias = noisy_or_fit([r["label"] for r in rows], [r["plain"] for r in rows], [r["found"] for r in rows], len(names))
+            plain, lengths, owner, which = [], [], [], []
+            for d, text in enumerate(batch.column(0)):
+                none = 0
+                for a, b in sentences(text := text.as_py()):
+                    if words := WORD.findall(text[a:b].lower()):
+                        have = {number[f] for w in set(words) for f in reader.of(w)}
+                        if have:
+                            owner.append(d)
+                            lengths.append(len(have))
+                            which.extend(have)
+                        else:
+                            none += 1
+                plain.append(none)
+            packed = [np.asarray(x, np.int32).tobytes() for x in (batch.column(1).to_pylist(), plain, owner, lengths, which)]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in packed], ["label", "plain", "owner", "lengths", "which"])
+
+    rows = sample.select("text", "label").mapInArrow(run, "label binary, plain binary, owner binary, lengths binary, which binary").collect()
+    parts = [[np.frombuffer(x, np.int32) for x in r] for r in rows]
+    before = np.cumsum([0, *(len(p[0]) for p in parts)])
+    joined = [np.concatenate([np.empty(0, np.int64), *(p[i] + (before[k] if i == 2 else 0) for k, p in enumerate(parts))]) for i in range(5)]
+    weights, bias = noisy_or_fit(*joined, len(names))
     return Model(dict(zip(names, weights.tolist(), strict=True)), bias)
 
 
-def noisy_or_fit(labels: list[float], plain: list[int], found: list[list[list[int]]], size: int, steps: int = STEPS, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
+def noisy_or_fit(labels: np.ndarray, plain: np.ndarray, owner: np.ndarray, lengths: np.ndarray, which: np.ndarray, size: int, steps: int = STEPS, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
     """Weights and bias of least cross entropy between labels and noisy-or scores, by Adam over all documents.
 
-    plain: sentences of a document without a feature, which all have the bias alone; found: the features of each other one.
+    plain: sentences of each document without a feature, which all have the bias alone. Of each other sentence: its document (owner) and
+    how many features it has; which: those features, one sentence after the other.
     """
-    y, plain_n = np.asarray(labels) >= 0.5, np.asarray(plain, float)
-    owner = np.array([d for d, s in enumerate(found) for _ in s], np.int64)
-    flat = [x for s in found for x in s]
-    at = np.repeat(np.arange(len(flat)), [len(x) for x in flat]) if flat else np.empty(0, np.int64)
-    which = np.fromiter((f for x in flat for f in x), np.int64) if flat else np.empty(0, np.int64)
+    y, plain_n = labels >= 1, plain.astype(float)
+    at = np.repeat(np.arange(len(owner)), lengths)
     theta, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     theta[-1] = -4.0
     for step in range(1, steps + 1):
-        z = theta[-1] + np.bincount(at, theta[which], len(flat))
+        z = theta[-1] + np.bincount(at, theta[which], len(owner))
         p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-theta[-1]))
         # log of the chance that no sentence offends: log(1 - p) = -log(1 + e^z)
         clean = -np.bincount(owner, np.logaddexp(0, z), len(y)) - plain_n * np.logaddexp(0, theta[-1])
