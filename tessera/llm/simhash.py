@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +21,8 @@ from .components import connected_components
 
 SHINGLE, SEED, BITS, BUDGET = 3, 42, 64, 3
 ASCII_SPACE = frozenset(" \t\n\r\x0b\x0c").__contains__
-#: Bits of a fingerprint by which the driver splits the trie at most, and about how many fingerprints a subtree has then.
-PREFIX_BITS, SUBTREE = 16, 32_768
+#: Bits of a fingerprint by which the driver splits the trie at most; fingerprints that a subtree has at most then (least, most).
+PREFIX_BITS, SUBTREE = 16, (16_384, 131_072)
 #: Node pairs that a task holds in one array, and pairs of leaves that it compares outright instead of going on down.
 FRONT, LEAVES = 1 << 18, 32
 
@@ -66,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"`{id_col}` {kind}, fp long")
 
 
-def split_nodes(counts: dict[int, int], bits: int = PREFIX_BITS, most: int = SUBTREE) -> list[tuple[int, int, int]]:
+def split_nodes(counts: dict[int, int], bits: int = PREFIX_BITS, most: int = SUBTREE[1]) -> list[tuple[int, int, int]]:
     """The nodes (depth, prefix, leaves) at which the trie is cut: the highest with at most `most` leaves, or those `bits` down."""
     sums = {(bits, p): n for p, n in counts.items()}
     for depth in range(bits, 0, -1):
@@ -192,7 +191,7 @@ def compared(a: np.ndarray, b: np.ndarray, a0, a1, b0, b1, budget: int, own: boo
             yield i[near], j[near]
 
 
-def links(distinct: DataFrame, budget: int = BUDGET, most: int = SUBTREE) -> DataFrame:
+def links(distinct: DataFrame, budget: int = BUDGET, most: tuple[int, int] = SUBTREE) -> DataFrame:
     """Edges (src, dst) between distinct fingerprints, column fp, that join all fingerprints within `budget` bits, directly or over others.
 
     Each task gives a spanning forest of the links it finds, so edges are at most its leaves and not their pairs. `distinct` is read
@@ -201,6 +200,7 @@ def links(distinct: DataFrame, budget: int = BUDGET, most: int = SUBTREE) -> Dat
     # driver: at most 2 ** PREFIX_BITS counts
     prefix = F.shiftrightunsigned("fp", BITS - PREFIX_BITS).cast("int")
     counts = {r[0]: r[1] for r in distinct.groupBy(prefix.alias("p")).count().collect()}
+    most = min(most[1], max(most[0], -(-sum(counts.values()) // 4)))
     nodes = split_nodes(counts, most=most)
     pairs = node_pairs(nodes, budget)
     spark = distinct.sparkSession
@@ -214,7 +214,7 @@ def links(distinct: DataFrame, budget: int = BUDGET, most: int = SUBTREE) -> Dat
             member.setdefault(j, []).append((k, 1))
             load[k] += nodes[j][2]
     # tasks of about equal load, largest pairs first
-    n_tasks = max(1, min(len(pairs), -(-sum(load) // (2 * most)) * 2))
+    n_tasks = max(1, min(len(pairs), 2 * -(-sum(load) // (2 * most))))
     filled, task_of = np.zeros(n_tasks), [0] * len(pairs)
     for k in sorted(range(len(pairs)), key=lambda k: (-load[k], k)):
         task_of[k] = int(filled.argmin())
@@ -228,14 +228,12 @@ def links(distinct: DataFrame, budget: int = BUDGET, most: int = SUBTREE) -> Dat
             for d in depths:
                 prefixes = (fp >> np.uint64(BITS - d)).astype(np.int64) if d else np.zeros(len(fp), np.int64)
                 for p in np.unique(prefixes):
-                    if (to := places.get((d, int(p)))) is None:
-                        continue
-                    own = fp[prefixes == p].view(np.int64)
-                    rows = np.repeat(to, len(own), axis=0)
-                    yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in rows.T), pa.array(np.tile(own, len(to)))], ["task", "pair", "side", "fp"])
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for key, left, right in grouped(batches):
+                    if (to := places.get((d, int(p)))) is not None:
+                        leaves = [fp[prefixes == p].tobytes()] * len(to)
+                        yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in to.T), pa.array(leaves, pa.binary())], ["task", "pair", "side", "leaves"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for left, right in grouped(batches):
             both = left if right is None else np.concatenate([left, right])
             forest = Forest(len(both))
             shift = 0 if right is None else len(left)
@@ -243,37 +241,31 @@ def links(distinct: DataFrame, budget: int = BUDGET, most: int = SUBTREE) -> Dat
                 forest.join(i, j + shift)
             root = forest.roots()
             own = np.flatnonzero(root != np.arange(len(root)))
-            if len(own):
-                yield pd.DataFrame({"src": both[own].view(np.int64), "dst": both[root[own]].view(np.int64)})
+            yield pa.RecordBatch.from_arrays([pa.array(both[own].view(np.int64)), pa.array(both[root[own]].view(np.int64))], ["src", "dst"])
 
     if not pairs:
         return spark.createDataFrame([], "src long, dst long")
-    dealt = distinct.select("fp").mapInArrow(deal, "task int, pair int, side int, fp long")
+    # leaves travel in blocks, a row for each block and pair that it takes part in
+    dealt = distinct.select("fp").mapInArrow(deal, "task int, pair int, side int, leaves binary")
     dealt = dealt.repartitionById(n_tasks, F.col("task")).sortWithinPartitions("pair", "side")
-    return dealt.select("pair", "side", "fp").mapInPandas(walk, "src long, dst long")
+    return dealt.select("pair", "side", "leaves").mapInArrow(walk, "src long, dst long")
 
 
-def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
-    """Of rows (pair, side, fp) sorted by pair: (pair, left leaves, right leaves or None), each sorted and without repeats."""
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Of rows (pair, side, leaves) sorted by pair: (left leaves, right leaves or None) of each, sorted and without repeats."""
     now, held = None, ([], [])
 
     def done():
-        sides = [np.unique(np.concatenate(x)) if x else np.empty(0, np.uint64) for x in held]
-        return now, sides[0], sides[1] if held[1] else None
+        sides = [np.unique(np.concatenate([np.empty(0, np.uint64), *x])) for x in held]
+        return sides[0], sides[1] if held[1] else None
 
     for batch in batches:
-        pair, side, fp = (batch[c].to_numpy() for c in ("pair", "side", "fp"))
-        cuts = np.flatnonzero(np.diff(pair)) + 1
-        for p, s, f in zip(np.split(pair, cuts), np.split(side, cuts), np.split(fp.view(np.uint64), cuts), strict=True):
-            if not len(p):
-                continue
-            if now is not None and p[0] != now:
+        for pair, side, leaves in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if now is not None and pair != now:
                 yield done()
                 held = ([], [])
-            now = int(p[0])
-            for k in (0, 1):
-                if (s == k).any():
-                    held[k].append(f[s == k])
+            now = pair
+            held[side].append(np.frombuffer(leaves, np.uint64))
     if now is not None:
         yield done()
 
