@@ -1,5 +1,7 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
+import corpus_pipeline
+
 from .fingerprints import op9_canonical_digest
 from .langid import op1_rank_order_language_id
 from .packing import op10_best_fit_packing
@@ -11,5 +13,5 @@ from .toxicity import op4_noisy_or_toxicity
 from .sentencepieces import op5_sentencepiece_lattice
 from .sharding import op6_rendezvous_sharding
 
-QUERIES = {f.__name__: f for f in (op1_rank_order_language_id, op2_simhash_trie_join, op3_bit_sliced_topk, op4_noisy_or_toxicity, op5_sentencepiece_lattice, op6_rendezvous_sharding, op7_temporal_url_filter, op8_quality_classifier, op9_canonical_digest, op10_best_fit_packing)}
+QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_rank_order_language_id, op2_simhash_trie_join, op3_bit_sliced_topk, op4_noisy_or_toxicity, op5_sentencepiece_lattice, op6_rendezvous_sharding, op7_temporal_url_filter, op8_quality_classifier, op9_canonical_digest, op10_best_fit_packing)}
 ORACLE_SQL = {"op3_bit_sliced_topk": OP3_SQL, "op7_temporal_url_filter": OP7_SQL}
