@@ -15,6 +15,9 @@ from . import common
 #: What counts as white space: Unicode's White_Space property and the four separators U+001C to U+001F.
 SPACE = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
+#: Classes of digests by which texts without a double are kept from moving: a bound on what is sent to every task (16 MB).
+SIEVE = 1 << 20
+
 
 def canonical(text: Column) -> Column:
     """NFKC, case folded and normalised once more (folding can undo it), white space runs one space, none at the ends; null: empty.
@@ -39,13 +42,13 @@ def wide_digest(canon: Column) -> Column:
 def collisions(canons: DataFrame) -> DataFrame:
     """Of rows (digest, canon): a row (digest, canon, nth) for each further text of a digest that several different texts share.
 
-    The byte comparison: a bucket whose smallest and largest canonical text are the same holds one text. Minima and maxima are
-    taken in each task before the shuffle, so a text with very many copies is one row a task.
+    The byte comparison: rows of one digest are told apart by their whole canonical text. Each task leaves out its own copies before the
+    shuffle, so a text with very many copies is one row a task.
     """
-    ends = canons.groupBy("digest").agg(F.min("canon").alias("low"), F.max("canon").alias("high")).filter("low <> high").select("digest")
-    apart = canons.join(ends, "digest", "left_semi").distinct()
+    texts = canons.select("digest", "canon").distinct()
+    shared = texts.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
     order = Window.partitionBy("digest").orderBy("canon")
-    return apart.withColumn("nth", F.row_number().over(order) - 1).filter("nth > 0")
+    return texts.join(shared, "digest", "left_semi").withColumn("nth", F.row_number().over(order) - 1).filter("nth > 0")
 
 
 def named(digest: Column, nth: Column) -> Column:
@@ -62,13 +65,20 @@ def digests(docs: DataFrame, text_col: str = "text", keep: tuple[Column, ...] =
 def further_texts(docs: DataFrame, prints: DataFrame, text_col: str) -> DataFrame | None:
     """collisions() among the documents, settled, or None where no two texts share a digest, which is as good as always.
 
-    Only texts whose digest occurs more than once are moved.
+    Only texts whose digest occurs more than once can share it, so only those, and the few that fall into the same of SIEVE classes as one
+    of them, are moved; the classes that matter are at most SIEVE numbers, which every task gets.
     """
-    shared = prints.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
-    found = common.settled(collisions(digests(docs, text_col).join(shared, "digest", "left_semi")))
+    repeated = prints.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
+    sieve = repeated.select(sieved(F.col("digest")).alias("_class")).distinct()
+    rows = digests(docs, text_col).withColumn("_class", sieved(F.col("digest")))
+    found = common.settled(collisions(rows.join(F.broadcast(sieve), "_class", "left_semi")))
     return found if found.head(1) else None
 
 
+def sieved(digest: Column) -> Column:
+    return F.pmod(F.xxhash64(digest), F.lit(SIEVE)).cast("int")
+
+
 def resolved(rows: DataFrame, further: DataFrame | None, canon: str, digest: str, name: str) -> DataFrame:
     """rows with `name`, the fingerprint of the text in column `canon`."""
     if further is None:
