@@ -21,7 +21,7 @@ from . import common
 
 MODEL = "piece_bpe_32k.model"
 #: What stands for a space in pieces.
-GAP = "▁"
+GAP = "\u2581"
 #: Words that get their pieces from the lattice, at most: the most frequent ones. Other words are folded where they occur.
 DICTIONARY = 131_072
 #: Rows up to which the piece table counts as small enough to send to every task.
