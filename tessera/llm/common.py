@@ -62,7 +62,8 @@ def blocks(text: str, size: int = BLOCK_CHARS, space: Callable[[str], bool] = st
             end += 1
         yield text[at:end]
         at = end
-    yield text[at:]
+    if at < len(text) or not at:
+        yield text[at:]
 
 
 def numbered(df: DataFrame, key: str, name: str, chunk: int = 65_536, least: int = 16) -> DataFrame:
