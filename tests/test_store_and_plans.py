@@ -93,7 +93,7 @@ def test_answers(spark, tmp_path):
 
 
 def test_sessions(spark):
-    lines = [(1, 0, " a "), (1, 1, " "), (1, 2, "Exit\n"), (1, 3, "b"), (2, 0, "quit it"), (3, 5, "c")]
+    lines = [(1, 0, " a "), (1, 1, "\u00a0"), (1, 2, "Exit\n"), (1, 3, "b"), (2, 0, "quit it"), (3, 5, "c")]
     got = asked_questions(spark.createDataFrame(lines, "s int, n int, text string"), "s", "n").collect()
     assert sorted((r["s"], r["n"], r["question"]) for r in got) == [(1, 0, "a"), (2, 0, "quit it"), (3, 5, "c")]
 
