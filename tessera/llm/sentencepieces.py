@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,11 @@ MODEL = "piece_bpe_32k.model"
 #: What stands for a space in pieces.
 GAP = "\u2581"
 #: Words that get their pieces from the lattice, at most: the most frequent ones. Other words are folded where they occur.
-DICTIONARY = 131_072
+DICTIONARY = 262_144
 #: Rows up to which the piece table counts as small enough to send to every task.
 MOST_PIECES = 1 << 20
-#: Other words that a worker remembers.
-REMEMBERED = 300_000
+#: Other words that a worker remembers, and rows that it gives back at once.
+REMEMBERED, ROWS = 200_000, 256
 
 
 @dataclass
@@ -66,9 +67,10 @@ class Pieces:
 
     @cached_property
     def order(self) -> dict[str, int]:
-        """Place of each piece's score among all scores, the highest first."""
+        """Place of each piece's score among all scores, the highest first; -1 for what is only the beginning of a piece."""
         places = {s: k for k, s in enumerate(sorted({s for _, s in self.table.values()}, reverse=True))}
-        return {p: places[s] for p, (_, s) in self.table.items()}
+        out = {p[:k]: -1 for p in self.table for k in range(1, len(p))}
+        return out | {p: places[s] for p, (_, s) in self.table.items()}
 
     @cached_property
     def unknown_score(self) -> float:
@@ -90,11 +92,16 @@ class Pieces:
         return ids
 
     def merged(self, word: str) -> list[tuple[int, int]]:
-        n, longest, get = len(word), self.longest, self.order.get
+        n, get = len(word), self.order.get
         width = max(20, n.bit_length())
         mask = (1 << width) - 1
-        # an edge as one number that sorts by score and then from the left
-        edges = [o << 2 * width | s << width | e for s in range(n - 1) for e in range(s + 2, min(n, s + longest) + 1) if (o := get(word[s:e])) is not None]
+        edges = []  # each as one number that sorts by score and then from the left
+        for s in range(n - 1):
+            for e in range(s + 2, n + 1):
+                if (o := get(word[s:e])) is None:
+                    break
+                if o >= 0:
+                    edges.append(o << 2 * width | s << width | e)
         edges.sort()
         ends = list(range(1, n + 1))  # where the symbol that begins here ends; 0: none begins here
         for x in edges:
@@ -197,30 +204,28 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = DICTIONA
     return counts.filter(F.col("n") >= cut if cut is not None else F.lit(False)).select(F.concat(F.lit(GAP), "w").alias("word"))
 
 
-class Encoder:
-    """Ids of texts, from the words of the lattice and folds for all others."""
+class Encoder(dict):
+    """Words to their ids as bytes: those of the lattice, and others as they are met, folded; the latter are forgotten when they are too many."""
 
     def __init__(self, pieces: Pieces, words: dict[str, bytes]):
-        self.pieces, self.words, self.others = pieces, words, {}
+        super().__init__(words)
+        self.pieces, self.words = pieces, words
 
-    def __getstate__(self):
-        return self.__dict__ | {"others": {}}
+    def __reduce__(self):
+        return Encoder, (self.pieces, self.words)
 
-    def word(self, word: str) -> bytes:
-        found = self.words.get(word) or self.others.get(word)
-        if found is None:
-            if len(self.others) >= REMEMBERED:
-                self.others.clear()
-            found = self.others[word] = np.asarray(self.pieces.fold(word), "<i4").tobytes()
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > len(self.words) + REMEMBERED:
+            self.clear()
+            self.update(self.words)
+        found = self[word] = np.asarray(self.pieces.fold(word), "<i4").tobytes()
         return found
 
     def encode(self, text: str) -> np.ndarray:
         """A gap before the text, gaps for spaces; no piece reaches over the gap before a word, so words are encoded one by one."""
-        if not text:
-            return np.empty(0, np.int32)
         out, carry = [], GAP
-        for block in common.blocks(text, space=" ".__eq__):
-            out.extend(map(self.word, WORDS.findall(carry + block.replace(" ", GAP))))
+        for block in common.blocks(text, space=" ".__eq__) if text else ():
+            out.extend(map(self.__getitem__, WORDS.findall(carry + block.replace(" ", GAP))))
             carry = ""
         return np.frombuffer(b"".join(out), "<i4")
 
@@ -228,27 +233,29 @@ class Encoder:
 WORDS = re.compile(f"{GAP}*[^{GAP}]+|{GAP}+")
 
 
-def decode(ids: list[int], names: list[str], byte_of: dict[int, int]) -> str:
-    """The text of ids: pieces joined, runs of byte pieces read as UTF-8 (what isn't UTF-8: U+FFFD), gaps to spaces, the first one dropped."""
-    out, run = [], bytearray()
-    for i in ids:
-        if (b := byte_of.get(i)) is not None:
-            run.append(b)
-            continue
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-            run.clear()
-        out.append(names[i])
-    if run:
-        out.append(run.decode("utf-8", "replace"))
-    return "".join(out).replace(GAP, " ")[1:]
+class Decoder:
+    """Texts of ids: pieces joined, runs of byte pieces read as UTF-8 (what isn't UTF-8: U+FFFD), gaps to spaces, the first one dropped."""
 
+    def __init__(self, pieces: Pieces):
+        self.byte_of = {i: b for b, i in enumerate(pieces.byte_ids)}
+        self.names = [chr(b) if (b := self.byte_of.get(i, 128)) < 128 else name for i, name in enumerate(pieces.names)]
+        self.high = {i for i, b in self.byte_of.items() if b > 127}
 
-def encode_documents(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", most: int = DICTIONARY, keep: list[str] | None = None) -> DataFrame:
-    """A row per document: its id (or the columns `keep`) and ids, the whole text's piece ids.
+    def decode(self, ids: list[int]) -> str:
+        if self.high.isdisjoint(ids):
+            return "".join(map(self.names.__getitem__, ids)).replace(GAP, " ")[1:]
+        out: list[str] = []
+        for of_bytes, run in groupby(ids, self.byte_of.__contains__):
+            out.append(bytes(map(self.byte_of.__getitem__, run)).decode("utf-8", "replace") if of_bytes else "".join(map(self.names.__getitem__, run)))
+        return "".join(out).replace(GAP, " ")[1:]
 
-    Null texts have null ids, empty ones none. Repeated rows are encoded alike; an empty table gives an empty result; other columns
-    are not read. The words of the lattice (bounded by `most`) go to every task; any other word is folded by the task that meets it.
+
+def encode_documents(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", most: int = DICTIONARY, keep: list[str] | None = None, check: bool = False) -> DataFrame:
+    """A row per document: its id (or the columns `keep`) and ids, the whole text's piece ids; with `check` also round_trip, whether they decode to the text.
+
+    Null texts have null ids (and a round trip), empty ones none. Repeated rows are encoded alike; an empty table gives an empty result;
+    other columns are not read. The words of the lattice (bounded by `most`) go to every task; any other word is folded by the task that
+    meets it.
     """
     keep = keep or [id_col]
     table = {r["word"]: np.asarray(r["ids"], "<i4").tobytes() for r in words_of(frequent_words(docs, text_col, most), pieces).toLocalIterator()}
@@ -256,35 +263,42 @@ def encode_documents(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", te
     rows = docs.select(F.col(text_col).cast("string").alias("_read_text"), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared.value
-        for batch in batches:
-            found = [None if (t := x.as_py()) is None else encoder.encode(t) for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.list_(pa.int32()))], [*keep, "ids"])
+        encoder, decoder = shared.value, Decoder(pieces)
+        for whole in batches:
+            for at in range(0, len(whole), ROWS):
+                batch = whole.slice(at, ROWS)
+                texts = batch.column(0).to_pylist()
+                found = [None if t is None else encoder.encode(t) for t in texts]
+                columns = [*batch.columns[1:], pa.array(found, pa.list_(pa.int32()))]
+                if check:
+                    columns.append(pa.array([t is None or decoder.decode(x.tolist()) == t.replace(GAP, " ") for t, x in zip(texts, found, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, [*keep, "ids", *["round_trip"] * check])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[1:])
-    return rows.mapInArrow(run, f"{schema}, ids array<int>")
+    return rows.mapInArrow(run, f"{schema}, ids array<int>" + ", round_trip boolean" * check)
 
 
 def decode_documents(encoded: DataFrame, pieces: Pieces, ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (all others by default) and decoded, the text of the ids: null for null, empty for none."""
     keep = keep or [c for c in encoded.columns if c != ids_col]
     rows = encoded.select(F.col(ids_col).alias("_read_ids"), *keep)
-    names, byte_of = pieces.names, {i: b for b, i in enumerate(pieces.byte_ids)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [None if (x := ids.as_py()) is None else decode(x, names, byte_of) for ids in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.string())], [*keep, "decoded"])
+        decoder = Decoder(pieces)
+        for whole in batches:
+            for at in range(0, len(whole), ROWS):
+                batch = whole.slice(at, ROWS)
+                found = [None if x is None else decoder.decode(x) for x in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.string())], [*keep, "decoded"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[1:])
     return rows.mapInArrow(run, f"{schema}, decoded string")
 
 
 def op5_sentencepiece_lattice(spark, sf_dir: str) -> DataFrame:
-    """Every whole text's ids, and whether they decode to the text again."""
+    """Every whole text's ids, and whether they decode to the text again (a gap character in a text is a space)."""
     import public_tokenizers
 
     pieces = Pieces.load(public_tokenizers.path(MODEL))
-    encoded = encode_documents(common.table(spark, sf_dir, "documents"), pieces, keep=["doc_id", "text"])
-    out = decode_documents(encoded, pieces, keep=["doc_id", "text", "ids"])
-    return out.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).alias("n_ids"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    out = encode_documents(common.table(spark, sf_dir, "documents"), pieces, check=True)
+    return out.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).alias("n_ids"), "ids", "round_trip")
