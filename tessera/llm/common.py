@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -18,14 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, or one of our own where it is unset (one machine)."""
+    """The folder that all executors share: spark.checkpoint.dir of the session, or what was set as its checkpoint folder.
+
+    Where neither is set, a folder of our own on one machine, which goes when Python ends; on a cluster an error.
+    """
+    sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(at)
-    return at
+    if not sc.getCheckpointDir():
+        if not at:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            at = tempfile.mkdtemp(prefix="tessera-")
+            atexit.register(shutil.rmtree, at, True)
+        sc.setCheckpointDir(at)
+    return at or sc.getCheckpointDir()
 
 
 def settled(df: DataFrame) -> DataFrame:
