@@ -250,7 +250,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
                 offsets[of] = place[:, 3] + within % place[:, 1] * length
             yield pa.RecordBatch.from_arrays([*batch.drop_columns(["_number"]).columns, pa.array(ids), pa.array(offsets)], [*batch.drop_columns(["_number"]).schema.names, "sequence_id", "offset"])
 
-    own = common.numbered(rows, length_col, "_number", least=1)
+    own = common.numbered(rows, length_col, "_number")
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
     return own.select(*rows.columns, "_number").mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
