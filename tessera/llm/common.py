@@ -91,3 +91,19 @@ def numbered(df: DataFrame, key: str, name: str, chunk: int = 65_536, least: int
     own = Window.partitionBy(key, "_bucket").orderBy("_row")
     out = rows.withColumn("_own", F.row_number().over(own) - 1).join(starts, [key, "_bucket"])
     return out.withColumn(name, (F.col("_start") + F.col("_own")).cast("long")).drop("_row", "_bucket", "_own", "_start")
+
+
+#: Keys that hold more than this share of all rows are joined by sending their few rows to every task: at most 1 / HOT_SHARE keys.
+HOT_SHARE = 1 / 4096
+
+
+def join_with_hot_keys(rows: DataFrame, side: DataFrame, key: str, count: str) -> DataFrame:
+    """rows (settled) joined to `side` (settled), which has every key of rows once, with the number of rows that have it.
+
+    The rows of a hot key stay where they are and the key's row comes to them; since hot keys hold more than HOT_SHARE of all rows
+    each, there are at most 1 / HOT_SHARE of them at any size. All other keys are joined by a shuffle.
+    """
+    total = side.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) > total * HOT_SHARE
+    few = F.broadcast(side.filter(hot))
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(side.filter(~hot), key))

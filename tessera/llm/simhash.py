@@ -278,15 +278,15 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, id_col: str = "doc_id
     columns are not read.
     """
     prints = common.settled(fingerprints(docs, id_col, text_col))
-    own = common.settled(prints.groupBy("fp").agg(F.min(id_col).alias("least_id")))
+    own = common.settled(prints.groupBy("fp").agg(F.min(id_col).alias("least_id"), F.count("*").alias("copies")))
     groups = connected_components(links(own, budget))
     # fingerprints joined to another one: the smallest id of the whole group
     reach = own.join(groups, own["fp"] == groups["node"]).select("fp", "least_id", "component")
     best = reach.groupBy("component").agg(F.min("least_id").alias("group_id"))
     named = reach.join(best, "component").select(F.col("fp").alias("of"), "group_id")
-    ids = own.join(named, own["fp"] == named["of"], "left").select(F.col("fp").alias("of"), F.coalesce("group_id", "least_id").alias("component_id"))
-    out = prints.join(ids, prints["fp"] == ids["of"])
-    return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = own.join(named, own["fp"] == named["of"], "left").select("fp", "copies", F.coalesce("group_id", "least_id").alias("_component"))
+    out = common.join_with_hot_keys(prints.withColumnRenamed(id_col, "_id"), common.settled(ids), "fp", "copies")
+    return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id"))
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
