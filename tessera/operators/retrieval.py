@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from ..functions.vectors import cosine_distance
 
 #: Questions whose vectors one pass over the store takes along; more are asked in further passes.
 BLOCK = 4_096
+#: Questions that a batch of rows is multiplied with at once.
+SLICE = 256
 
 
 def top_single(store: DataFrame, question: list[float], k: int, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
@@ -57,22 +60,27 @@ def _best(store: DataFrame, held: list[tuple], k: int, id_col: str, vector_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches if held else ():
             vectors = batch.column(1)
-            if (got := {len(v) for v in vectors.to_pylist() if v is not None}) - {size}:
+            if (got := set(pc.unique(pc.list_value_length(vectors)).to_pylist()) - {None, size}):
                 raise ValueError(f"vectors of different lengths: {size} and {sorted(got)}")
             there = np.asarray(vectors.is_valid())
             values = np.zeros((len(batch), size))
             values[there] = np.asarray(vectors.flatten().fill_null(np.nan), float).reshape(-1, size)
             norms = np.where(there, np.sqrt((values * values).sum(axis=1)), 0.0)
-            ids = batch.column(0).to_pylist()
-            by_id = np.argsort(np.array(ids, object), kind="stable")
-            with np.errstate(all="ignore"):
-                d = 1.0 - (values @ asked.T) / np.outer(norms, lengths)
-            d[~np.isfinite(d)] = np.inf
-            n = min(k, len(batch))
-            for j in range(len(held)):
-                near = by_id[np.argsort(d[by_id, j], kind="stable")[:n]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(qids[j], n), batch.column(0).take(pa.array(near)), pa.array(d[near, j], mask=np.isinf(d[near, j]))], [qid_col, id_col, "distance"]
-                )
+            # rows in the order of their ids, so that a place stands for an id where distances tie
+            order = np.asarray(pc.sort_indices(batch.column(0)))
+            values, norms, n = values[order], norms[order], min(k, len(batch))
+            for low in range(0, len(held), SLICE):
+                part = slice(low, low + SLICE)
+                with np.errstate(all="ignore"):
+                    d = 1.0 - (values @ asked[part].T) / np.outer(norms, lengths[part])
+                d[~np.isfinite(d)] = np.inf
+                at, q = np.nonzero(d <= np.partition(d, n - 1, axis=0)[n - 1])
+                best = np.lexsort((at, d[at, q], q))
+                at, q = at[best], q[best]
+                first = np.searchsorted(q, q)  # where the question's rows begin
+                near = np.arange(len(q)) - first < n
+                at, q = at[near], q[near]
+                found = d[at, q]
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(q + low)), batch.column(0).take(pa.array(order[at])), pa.array(found, mask=np.isinf(found))], [qid_col, id_col, "distance"])
 
     return rows.mapInArrow(run, schema)
