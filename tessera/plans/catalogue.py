@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vectors import cosine_distance
+from ..functions.vectors import cosine_distance, norm
 from ..operators import answering, retrieval, store
 from ..operators.chunking import chunk_pages, indexed
 from ..operators.models import FirstLineGenerator, with_answers
@@ -109,8 +109,10 @@ def store_reset(spark: SparkSession, d: str) -> DataFrame:
 
 def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every question's distance to every stored vector: the questions are the stated, bounded side."""
-    pairs = _stored(spark, d).crossJoin(_questions(spark, d).select("qid", "vector"))
-    return pairs.select("qid", "id", (F.round(cosine_distance(F.col("embedding"), F.col("vector")), 6) + 0.0).alias("distance"))
+    rows = _stored(spark, d).withColumn("n", norm(F.col("embedding")))
+    asked = _questions(spark, d).select("qid", "vector", norm(F.col("vector")).alias("m"))
+    distance = cosine_distance(F.col("embedding"), F.col("vector"), F.col("n"), F.col("m"))
+    return rows.crossJoin(asked).select("qid", "id", (F.round(distance, 6) + 0.0).alias("distance"))
 
 
 def _rounded(rows: DataFrame) -> DataFrame:
