@@ -18,6 +18,9 @@ SPACE = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}
 #: Classes of digests by which texts without a double are kept from moving: a bound on what is sent to every task (16 MB).
 SIEVE = 1 << 20
 
+#: Stands for a null id.
+NO_ID = -(1 << 63)
+
 
 def canonical(text: Column) -> Column:
     """NFKC, case folded and normalised once more (folding can undo it), white space runs one space, none at the ends; null: empty.
@@ -121,9 +124,10 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     A null text counts as empty, a null id as the smallest. Rows that share an id have the same next document, and of theirs the one with
     the smallest digest is the next of others. One shuffle carries the whole texts, one the beginnings that move to their neighbour.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    kind = docs.schema[id_col].dataType
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = docs.select(key.alias("key"), F.col(id_col).alias("id"), text.alias("text"))
+    texts = docs.select(key.alias("key"), text.alias("text"))  # both joins below read just these, so that one exchange serves them
     prints = common.settled(digests(texts, "text", (F.col("key"), F.length("text").cast("long").alias("n"))).select("key", "n", "digest"))
     further = further_texts(texts, prints, "text")
     ids = prints.groupBy("key").agg(F.max("n").alias("n"), F.min("digest").alias("digest"))
@@ -137,7 +141,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next.start", F.lit(1), half))
-    rows = rows.select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), F.col("next.next_fingerprint").alias("next_fingerprint"), "text")
+    rows = rows.select(F.nullif("key", F.lit(NO_ID)).cast(kind).alias("id"), n.cast("long").alias("n_chars"), edited.alias("edited"), F.col("next.next_fingerprint").alias("next_fingerprint"), "text")
     rows = rows.withColumn("canon", canonical(F.col("text"))).withColumn("edited_canon", canonical(F.col("edited")))
     rows = rows.select("*", wide_digest(F.col("canon")).alias("digest"), wide_digest(F.col("edited_canon")).alias("edited_digest"))
     rows = resolved(resolved(rows, further, "canon", "digest", "fingerprint"), further, "edited_canon", "edited_digest", "edited_fingerprint")
