@@ -18,6 +18,8 @@ from . import common
 
 #: N-grams in a profile.
 RANKS = 400
+#: Counts of n-grams that a task holds at most while it learns.
+HELD = 4_000_000
 #: What stands for the gaps between words; not a letter, and above 0 so that n-grams of different lengths differ as numbers.
 GAP = 1
 UNKNOWN = "und"
@@ -108,15 +110,28 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
+
+        def shrunk() -> int:
+            for parts in held.values():
+                parts[:] = [summed(parts)]
+            return sum(len(parts[0][0]) for parts in held.values())
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for lang, ((keys, counts),) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(keys), np.int32))), pa.array(keys), pa.array(counts)], ["lang", "gram", "n"])
+            held.clear()
+
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1), strict=True):
-                parts = held.setdefault(lang.as_py(), [])
-                parts.append(counted(text.as_py()))
-                if len(parts) > 500:
-                    parts[:] = [summed(parts)]
-        for lang, parts in held.items():
-            keys, counts = summed(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(counts)], ["lang", "gram", "n"])
+                found = counted(text.as_py())
+                held.setdefault(lang.as_py(), []).append(found)
+                size += len(found[0])
+                if size > HELD and (size := shrunk()) > HELD // 2:
+                    yield from given()  # what many languages or scripts have is summed later on
+                    size = 0
+        shrunk()
+        yield from given()
 
     counts = common.settled(rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     tops = {}

@@ -91,6 +91,9 @@ def test_languages(corpus, monkeypatch):
     assert all((rows[i]["lang_pred"], rows[i]["score"]) == ("und", 0.0) for i in (302, 303, 304, 305)) and all(0 <= r["score"] <= 1 for r in rows.values())
     kept = {r["doc_id"] for r in langid.keep_identified(docs).collect()}
     assert set(range(240)) <= kept and not kept & {302, 303, 304, 305}
+    monkeypatch.setattr(langid, "HELD", 50)
+    again = langid.learn_profiles(docs.filter(~common.held_out()))
+    assert again.languages == profiles.languages and np.array_equal(again.table, profiles.table) and np.array_equal(again.keys, profiles.keys)
     # the profile is that of all training rows
     counts = sum((plain_grams(r["text"]) for r in docs.filter("lang = 'de' AND text IS NOT NULL").collect() if not held(r["doc_id"])), Counter())
     best = max(counts.values())
