@@ -13,10 +13,6 @@ from tessera.streaming.reingest import follow
 PAGES = "source_file string, page int, page_content string"
 
 
-class Counting(models.HashingEmbedder):
-    pass
-
-
 def setup(tmp_path, **more):
     return Settings(store_path=str(tmp_path / "store"), embed_dim=16, chunk_size=8, chunk_overlap=0, **more)
 
