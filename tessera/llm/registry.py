@@ -6,12 +6,24 @@ from .fingerprints import op9_canonical_digest
 from .langid import op1_rank_order_language_id
 from .packing import op10_best_fit_packing
 from .quality import op8_quality_classifier
+from .sentencepieces import op5_sentencepiece_lattice
+from .sharding import op6_rendezvous_sharding
 from .simhash import op2_simhash_trie_join
-from .urlfilter import OP7_SQL, op7_temporal_url_filter
 from .topk import OP3_SQL, op3_bit_sliced_topk
 from .toxicity import op4_noisy_or_toxicity
-from .sentencepieces import op5_sentencepiece_lattice
-from .sharding import op6_rendezvous_sharding
+from .urlfilter import OP7_SQL, op7_temporal_url_filter
 
-QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_rank_order_language_id, op2_simhash_trie_join, op3_bit_sliced_topk, op4_noisy_or_toxicity, op5_sentencepiece_lattice, op6_rendezvous_sharding, op7_temporal_url_filter, op8_quality_classifier, op9_canonical_digest, op10_best_fit_packing)}
+OPERATORS = (
+    op1_rank_order_language_id,
+    op2_simhash_trie_join,
+    op3_bit_sliced_topk,
+    op4_noisy_or_toxicity,
+    op5_sentencepiece_lattice,
+    op6_rendezvous_sharding,
+    op7_temporal_url_filter,
+    op8_quality_classifier,
+    op9_canonical_digest,
+    op10_best_fit_packing,
+)
+QUERIES = {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in OPERATORS}
 ORACLE_SQL = {"op3_bit_sliced_topk": OP3_SQL, "op7_temporal_url_filter": OP7_SQL}
