@@ -11,6 +11,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -40,25 +41,37 @@ class Ids:
     The strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: dict[bytes, int] | None = None):
+        self.path, self.ranks = path, ranks_of(path) if ranks is None else ranks
+
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(self.path)
+        own.encode_special_tokens = True
+        return own
+
+    @cached_property
+    def full(self):
+        return self._encoding(lambda pattern: pattern)
+
+    @cached_property
+    def quick(self):
+        """For texts without two white spaces in a row, in which the look ahead never decides."""
+        return self._encoding(lambda pattern: pattern.replace(r"\s+(?!\S)|", ""))
+
+    def _encoding(self, change):
         import tiktoken
         from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        ranks = ranks_of(path)
-        self.full = self.quick = None
-        if ranks:
-            self.full = tiktoken.Encoding("full", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-            # without two white spaces in a row the look ahead never decides
-            self.quick = tiktoken.Encoding("quick", pat_str=PATTERN.replace(r"\s+(?!\S)|", ""), mergeable_ranks=ranks, special_tokens={})
+        return tiktoken.Encoding("own", pat_str=change(PATTERN), mergeable_ranks=self.ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.part, cut(text)))
 
     def part(self, text: str) -> bytes:
-        if self.full is None:
+        if not self.ranks:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
             ids = (self.full if DOUBLE_SPACE.search(text) else self.quick).encode_ordinary(text)
@@ -78,12 +91,12 @@ def cut(text: str, size: int = common.BLOCK_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
-def ranks_of(path: str) -> dict[bytes, int] | None:
-    """Bytes of each token to its id, if the file is a byte-level BPE whose ids are in the order of its merges; else None."""
+def ranks_of(path: str) -> dict[bytes, int]:
+    """Bytes of each token to its id, if the file is a byte-level BPE whose ids are in the order of its merges; else nothing."""
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
     if model["model"].get("type") != "BPE" or (model.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or model["pre_tokenizer"].get("add_prefix_space"):
-        return None
+        return {}
     # byte-level files write a byte as itself where it prints, else as a character from 256 on
     prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     others = [b for b in range(256) if b not in prints]
@@ -91,7 +104,7 @@ def ranks_of(path: str) -> dict[bytes, int] | None:
     vocabulary = model["model"]["vocab"]
     merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["model"]["merges"]]
     if any(vocabulary[m] != 256 + i for i, m in enumerate(merges)):
-        return None
+        return {}
     special = {t["content"] for t in model.get("added_tokens", [])}
     return {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in special}
 
@@ -110,9 +123,10 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema[id_col].dataType.simpleString()
     end = np.asarray([end_id], "<u4").tobytes()
+    ranks = docs.sparkSession.sparkContext.broadcast(ranks_of(path))  # of a vocabulary's size; a task then needs no more of the file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _ids[path] if path in _ids else _ids.setdefault(path, Ids(path))
+        ids_of = _ids[path] if path in _ids else _ids.setdefault(path, Ids(path, ranks.value))
         for batch in batches:
             out, at = [], []
             for i, text in enumerate(batch.column(1)):
