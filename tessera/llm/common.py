@@ -6,6 +6,7 @@ import atexit
 import math
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -107,3 +108,23 @@ def join_with_hot_keys(rows: DataFrame, side: DataFrame, key: str, count: str) -
     hot = F.col(count) > total * HOT_SHARE
     few = F.broadcast(side.filter(hot))
     return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(side.filter(~hot), key))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder as compressed Parquet and read again: less disk than settled(), without the rows' partitions and order."""
+    at = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+#: Classes of keys by which rows of no use are kept from moving: a bound on what is sent to every task.
+SIEVE = 1 << 22
+
+
+def parted(rows: DataFrame, some: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key is in `some` (settled; its only column), and the others. Of rows only those move whose key is in a class of one of `some`."""
+    kind = F.pmod(F.xxhash64(key), F.lit(SIEVE)).cast("int")
+    sieve = F.broadcast(some.select(kind.alias("_class")).distinct())
+    marked = rows.withColumn("_class", kind)
+    maybe, never = (marked.join(sieve, "_class", how).drop("_class") for how in ("left_semi", "left_anti"))
+    return maybe.join(some, key, "left_semi"), never.unionByName(maybe.join(some, key, "left_anti"))

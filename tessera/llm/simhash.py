@@ -8,7 +8,7 @@ task walks the rest of its pairs of subtrees.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -289,11 +289,16 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, id_col: str = "doc_id
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id"))
 
 
-def keep_one_each(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id; of repeated rows of that id one stays. Null ids stay as they are."""
-    found = near_duplicates(docs, id_col=id_col).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    kept = docs.join(found, docs[id_col] == found["_kept"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", named: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """One document of each group that `named` makes, the one with the smallest id; of repeated rows of that id one stays. Null ids stay as they are."""
+    rows = common.stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+    groups = named(rows, id_col="_row").select("_row", "component_id")
+    least = F.min(F.struct(F.col(id_col).alias("id"), "_row"))
+    ids = rows.select("_row", id_col).filter(F.col(id_col).isNotNull())
+    ids = ids.join(groups, "_row")
+    kept = ids.groupBy("component_id").agg(least.alias("least")).groupBy("least.id").agg(F.min("least._row").alias("_row")).select("_row")
+    dropped = common.stored(ids.select("_row").join(kept, "_row", "left_anti"))
+    return common.parted(rows, dropped, "_row")[1].drop("_row")
 
 
 def op2_simhash_trie_join(spark, sf_dir: str) -> DataFrame:
