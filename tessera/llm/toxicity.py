@@ -22,9 +22,8 @@ from .quality import labelled_sample
 
 #: About so many labelled rows, at most, are learned from.
 SAMPLE = 30_000
-#: Features in the model; those that are rarer than this in toxic documents of the sample are left out before.
-FEATURES, LEAST_DOCS = 2_048, 4
-CANDIDATES = 20_000
+#: Features in fewer toxic documents of the sample are left out.
+LEAST_DOCS = 4
 #: How far a feature's log odds must lean to toxic documents, after two standard errors are taken off.
 LEAN = 1.0
 #: Steps of the fit and the penalty on weights.
@@ -94,20 +93,19 @@ def noisy_or(scores: list[float]) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(scores, 1 - 1e-12)).sum())) if scores else 0.0
 
 
-def word_features(text: str, wanted: set[str] | None = None) -> set[str]:
+def word_features(text: str) -> set[str]:
     words = set().union(*(WORD.findall(b.lower()) for b in common.blocks(text)))
-    found = {f for w in words for f in features(w)}
-    return found if wanted is None else found & wanted
+    return {f for w in words for f in features(w)}
 
 
-def document_counts(sample: DataFrame, toxic: bool, wanted: set[str] | None = None) -> DataFrame:
+def document_counts(sample: DataFrame, toxic: bool) -> DataFrame:
     """In how many documents of one label each feature is: counted by each task, then summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0):
-                counts.update(word_features(text.as_py(), wanted))
+                counts.update(word_features(text.as_py()))
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["feature", "n"])
 
     rows = sample.filter(F.col("label") >= 0.5 if toxic else F.col("label") < 0.5).select("text")
@@ -115,19 +113,17 @@ def document_counts(sample: DataFrame, toxic: bool, wanted: set[str] | None = No
 
 
 def chosen_features(sample: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
-    """The features most surely tied to toxic documents: by the lower bound of their log odds ratio, two standard errors down.
+    """The features surely tied to toxic documents: by the lower bound of their log odds ratio, two standard errors down.
 
-    The bound and not its significance, for that favours what is merely common in long texts.
+    The bound and not its significance, for that favours what is merely common in long texts. Every feature of LEAST_DOCS toxic documents
+    is rated, in Spark, and every one that leans is in the model.
     """
-    first = document_counts(sample, True).filter(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "feature").limit(CANDIDATES).collect()
-    toxic = {r["feature"]: r["n"] for r in first}
-    clean = {r["feature"]: r["n"] for r in document_counts(sample, False, set(toxic)).collect()}
-    rated = []
-    for f, p in toxic.items():
-        c = clean.get(f, 0)
-        odds = np.log((p + 0.5) / (n_toxic - p + 0.5)) - np.log((c + 0.5) / (n_clean - c + 0.5))
-        rated.append((2 * np.sqrt(1 / (p + 0.5) + 1 / (c + 0.5)) - odds, f))
-    return [f for z, f in sorted(rated)[:FEATURES] if z < -LEAN]
+    toxic = document_counts(sample, True).filter(F.col("n") >= LEAST_DOCS).withColumnRenamed("n", "p")
+    clean = document_counts(sample, False).withColumnRenamed("n", "c")
+    p, c = F.col("p"), F.coalesce("c", F.lit(0))
+    odds = F.log((p + 0.5) / (n_toxic - p + 0.5)) - F.log((c + 0.5) / (n_clean - c + 0.5))
+    rated = toxic.join(clean, "feature", "left").withColumn("bound", odds - 2 * F.sqrt(1 / (p + 0.5) + 1 / (c + 0.5)))
+    return [r["feature"] for r in rated.filter(F.col("bound") > LEAN).orderBy(F.desc("bound"), "feature").collect()]
 
 
 def fit(sample: DataFrame) -> Model:
