@@ -121,10 +121,19 @@ def stored(df: DataFrame) -> DataFrame:
 SIEVE = 1 << 22
 
 
+def kind_of(key: str) -> Column:
+    """The class of a key, of SIEVE."""
+    return F.pmod(F.xxhash64(key), F.lit(SIEVE)).cast("int")
+
+
+def sieved(rows: DataFrame, some: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in `some` (settled; its only column), and few others: those in a class of one of `some`. Nothing moves."""
+    sieve = F.broadcast(some.select(kind_of(key).alias("_class")).distinct())
+    return rows.withColumn("_class", kind_of(key)).join(sieve, "_class", "left_semi").drop("_class")
+
+
 def parted(rows: DataFrame, some: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """The rows whose key is in `some` (settled; its only column), and the others. Of rows only those move whose key is in a class of one of `some`."""
-    kind = F.pmod(F.xxhash64(key), F.lit(SIEVE)).cast("int")
-    sieve = F.broadcast(some.select(kind.alias("_class")).distinct())
-    marked = rows.withColumn("_class", kind)
-    maybe, never = (marked.join(sieve, "_class", how).drop("_class") for how in ("left_semi", "left_anti"))
+    sieve = F.broadcast(some.select(kind_of(key).alias("_class")).distinct())
+    maybe, never = sieved(rows, some, key), rows.withColumn("_class", kind_of(key)).join(sieve, "_class", "left_anti").drop("_class")
     return maybe.join(some, key, "left_semi"), never.unionByName(maybe.join(some, key, "left_anti"))
