@@ -22,9 +22,10 @@ from . import common
 
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
-#: Nodes that one completion may look at before it keeps its best filling so far, and whole plans that are tried.
-NODES = 4_000
-TRIES = 12
+#: Fillings that the search for a plan sets down after its first whole one before it keeps the best so far.
+NODES = 1_000
+#: Widths of the bands of waste by which the search is run: the least waste first, or longer documents first within a band.
+SLACKS = (0, 64)
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -38,19 +39,19 @@ class Ids:
 
     The file's vocabulary is run by `tiktoken`, which takes a tenth of the time and gives the same ids: in such a file an id past
     the bytes' own is also the order of its merge, which is checked when it is loaded; any other file is run by `tokenizers`.
-    The strings of special tokens in a text are ordinary text.
+    The strings of the file's special tokens get those tokens' ids wherever they stand, as the library gives them by default.
     """
 
-    def __init__(self, path: str, ranks: dict[bytes, int] | None = None):
-        self.path, self.ranks = path, ranks_of(path) if ranks is None else ranks
+    def __init__(self, path: str, ranks: dict[bytes, int] | None = None, special: dict[str, int] | None = None):
+        self.path = path
+        self.ranks, self.special = vocabulary_of(path) if ranks is None else (ranks, special or {})
+        self.finds = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     @cached_property
     def tokenizer(self):
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_file(self.path)
-        own.encode_special_tokens = True
-        return own
+        return Tokenizer.from_file(self.path)
 
     @cached_property
     def full(self):
@@ -74,9 +75,17 @@ class Ids:
         if not self.ranks:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
-            ids = (self.full if DOUBLE_SPACE.search(text) else self.quick).encode_ordinary(text)
+            ids, at = [], 0
+            for m in self.finds.finditer(text) if self.finds else ():
+                ids += self.plain(text[at : m.start()])
+                ids.append(self.special[m[0]])
+                at = m.end()
+            ids = ids + self.plain(text[at:]) if at else self.plain(text)
         return np.asarray(ids, "<u4").tobytes()
 
+    def plain(self, text: str) -> list[int]:
+        return (self.full if DOUBLE_SPACE.search(text) else self.quick).encode_ordinary(text)
+
 
 DOUBLE_SPACE = re.compile(r"\s\s")
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -91,22 +100,24 @@ def cut(text: str, size: int = common.BLOCK_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
-def ranks_of(path: str) -> dict[bytes, int]:
-    """Bytes of each token to its id, if the file is a byte-level BPE whose ids are in the order of its merges; else nothing."""
+def vocabulary_of(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Bytes of each token to its id, and the special tokens' strings to theirs, if the file is a byte-level BPE whose ids are in the order of its merges; else nothing."""
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
-    if model["model"].get("type") != "BPE" or (model.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or model["pre_tokenizer"].get("add_prefix_space"):
-        return {}
+    if model["model"].get("type") != "BPE" or (model.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or model["pre_tokenizer"].get("add_prefix_space") or model.get("normalizer"):
+        return {}, {}
     # byte-level files write a byte as itself where it prints, else as a character from 256 on
     prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     others = [b for b in range(256) if b not in prints]
     byte = {chr(b): b for b in prints} | {chr(256 + i): b for i, b in enumerate(others)}
     vocabulary = model["model"]["vocab"]
     merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["model"]["merges"]]
-    if any(vocabulary[m] != 256 + i for i, m in enumerate(merges)):
-        return {}
-    special = {t["content"] for t in model.get("added_tokens", [])}
-    return {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+    added = model.get("added_tokens", [])
+    # tokens that reach over white space or stand only as whole words, and such as a text could be cut in, are left to the library
+    if any(vocabulary[m] != 256 + i for i, m in enumerate(merges)) or any(t[k] for t in added for k in ("lstrip", "rstrip", "single_word")) or any(re.search(r"\s", t["content"]) for t in added):
+        return {}, {}
+    special = {t["content"]: t["id"] for t in added}
+    return {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in special}, special
 
 
 _ids: dict[str, Ids] = {}
@@ -123,10 +134,10 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema[id_col].dataType.simpleString()
     end = np.asarray([end_id], "<u4").tobytes()
-    ranks = docs.sparkSession.sparkContext.broadcast(ranks_of(path))  # of a vocabulary's size; a task then needs no more of the file
+    words = docs.sparkSession.sparkContext.broadcast(vocabulary_of(path))  # of a vocabulary's size; a task then needs no more of the file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _ids[path] if path in _ids else _ids.setdefault(path, Ids(path, ranks.value))
+        ids_of = _ids[path] if path in _ids else _ids.setdefault(path, Ids(path, *words.value))
         for batch in batches:
             out, at = [], []
             for i, text in enumerate(batch.column(1)):
@@ -148,82 +159,167 @@ class Filling:
     times: int
 
 
-def completion(counts: np.ndarray, largest: int, capacity: int, skip: int = 0, nodes: int = NODES) -> list[tuple[int, int]]:
-    """The best filling around one document of length `largest`: branch and bound over the lengths that are left.
+def sums_within(parts: list[tuple[int, int]], room: int) -> list[int]:
+    """For each beginning of parts (length, how many): the sums up to `room` that it can make, as the bits of a number."""
+    all_, out, now = (1 << room + 1) - 1, [], 1
+    for length, n in parts:
+        n, take = min(n, room // length), 1
+        while n > 0:
+            now |= now << length * min(take, n) & all_
+            n, take = n - take, 2 * take
+        out.append(now)
+    return out
+
+
+def spread(bits: int, by: int) -> int:
+    """bits with each set bit's next `by` higher ones set too."""
+    have = 0
+    while have < by:
+        step = min(have + 1, by - have)
+        bits |= bits << step
+        have += step
+    return bits
 
-    Longer lengths come first, so of two fillings that differ by one swapped length the one that isn't dominated is met first.
-    A branch ends when what it can still add, were all shorter documents at hand, can't beat the incumbent's waste. Best fit
-    (the largest length that fits, again and again) is the first incumbent, as it is the first path of the search. `skip` passes
-    over the first fillings that leave no waste, for another try.
+
+def dominated(parts: list[tuple[int, int]], free: int, waste: int) -> bool:
+    """Whether some of the parts, or none, can be swapped for one longer document at hand, or for one as long as several of them.
+
+    What is swapped out fits where that document would have gone, so the filling needn't be looked at. free: the lengths at hand, as bits.
+    """
+    singles = several = 0
+    for length, n in parts:
+        for _ in range(n):
+            several |= several << length | singles << length
+            singles |= 1 << length
+    more = (1 << waste + 1) - 2 | (spread(singles << 1, waste - 1) if waste else 0)  # in place of nothing, or of one
+    return bool(free & (more | spread(several, waste)))
+
+
+def fillings(left: np.ndarray, largest: int, capacity: int, slack: int = 0) -> Iterator[list[tuple[int, int]]]:
+    """The undominated fillings around one document of length `largest`, in bands of waste `slack` wide, the least waste first, within a band those with
+    longer documents first.
+
+    The sums that shorter documents can still make bound the waste of every branch, so none is entered in vain.
     """
-    left = counts.copy()
-    left[largest] -= 1
     room = capacity - largest
-    best: tuple[int, list[tuple[int, int]]] = (room, [])
-    total = np.concatenate([[0], np.cumsum(left[1:] * np.arange(1, capacity + 1))])  # tokens in documents of a length up to this
-    seen = 0
-    stack: list[tuple[int, int, tuple[tuple[int, int], ...]]] = [(room, min(room, capacity), ())]
-    while stack and seen < nodes:
-        space, limit, chosen = stack.pop()
-        seen += 1
-        if space < best[0]:
-            best = (space, list(chosen))
-        if space == 0:
-            if not skip:
-                break
-            skip -= 1
-            continue
-        limit = min(limit, space)
-        if limit <= 0 or space - min(space, int(total[limit])) >= best[0]:
-            continue
-        there = np.flatnonzero(left[1 : limit + 1]) + 1
-        if not len(there):
-            continue
-        length = int(there[-1])
-        most = min(int(left[length]), space // length)
-        # the last pushed is looked at first: as many of the largest length as fit, then fewer
-        for n in range(0, most + 1):
-            stack.append((space - n * length, length - 1, chosen + (((length, n),) if n else ())))
-    return best[1]
-
-
-def planned(counts: np.ndarray, capacity: int, skips: dict[int, int] | None = None) -> list[Filling]:
-    """Fillings for all documents, largest first; each is used as often as the counts allow, so at least one length is done each time."""
-    left, plan, step = counts.astype(np.int64).copy(), [], 0
-    while True:
-        there = np.flatnonzero(left)
-        if not len(there):
-            return plan
-        largest = int(there[-1])
-        parts = [(largest, 1), *completion(left, largest, capacity, (skips or {}).get(step, 0))]
-        need: dict[int, int] = {}
-        for length, n in parts:
-            need[length] = need.get(length, 0) + n
-        times = min(int(left[length]) // n for length, n in need.items())
-        for length, n in need.items():
-            left[length] -= n * times
-        plan.append(Filling(sorted(need.items(), reverse=True), times))
-        step += 1
+    have = [(int(x), int(left[x]) - int(x == largest)) for x in np.flatnonzero(left[: room + 1])]
+    have = [(x, n) for x, n in have if n]
+    reach = sums_within(have, room)
+    sums = reach[-1] if reach else 1
+    while sums:
+        high = sums.bit_length() - 1
+        low = max(0, high - slack)
+        sums &= (1 << low) - 1
+        stack = [(len(have) - 1, high, ())]
+        while stack:
+            i, rest, chosen = stack.pop()
+            if i < 0:
+                parts = list(chosen)
+                used = dict(parts)
+                free = sum(1 << x for x, n in have if n > used.get(x, 0))
+                if not dominated(parts, free, room - high + rest):
+                    yield [(largest, 1), *parts]
+                continue
+            while i and have[i][0] > rest:
+                i -= 1
+            length, n = have[i]
+            below = reach[i - 1] if i else 1
+            # the last pushed is looked at first: as many of the longest as fit, then fewer
+            for k in range(min(n, rest // length) + 1):
+                now = rest - k * length
+                least = max(0, now - (high - low))
+                if below >> least & (1 << now - least + 1) - 1:
+                    stack.append((i - 1, now, chosen + (((length, k),) if k else ())))
+
+
+def best_fit(counts: np.ndarray, capacity: int) -> list[Filling]:
+    """Best-fit decreasing over counts: each document, the longest first, goes where the least room is left that takes it."""
+    rooms: dict[int, list[tuple[int, tuple]]] = {}
+    for length in np.flatnonzero(counts)[::-1].tolist():
+        n = int(counts[length])
+        while n:
+            room = min((r for r in rooms if r >= length), default=0)
+            if room:
+                times, parts = rooms[room].pop()
+                if not rooms[room]:
+                    del rooms[room]
+            else:
+                room, times, parts = capacity, -(-n // (capacity // length)), ()
+            each = room // length
+            whole = min(times, n // each)
+            rest = min(1, times - whole) * (n - whole * each if whole < times else 0)
+            for t, k in ((whole, each), (1 if rest else 0, rest), (times - whole - (1 if rest else 0), 0)):
+                if t:
+                    rooms.setdefault(room - k * length, []).append((t, parts + (((length, k),) if k else ())))
+            n -= whole * each + rest
+    return [Filling(list(parts), times) for groups in rooms.values() for times, parts in groups]
 
 
 def least_sequences(counts: np.ndarray, capacity: int) -> int:
-    """A bound from waste: tokens over the capacity, or documents of which no two fit together."""
+    """A bound from waste: documents over half a sequence each need their own, and those of at least k fill no more than the room that is left beside
+    documents of at most capacity - k; the greatest over all k."""
     lengths = np.arange(len(counts))
-    over = int(counts[lengths > capacity // 2].sum())
-    return max(-(-int((counts * lengths).sum()) // capacity), over)
-
-
-def best_plan(counts: np.ndarray, capacity: int, tries: int = TRIES) -> list[Filling]:
-    """The plan with fewest sequences of those tried; done at once when it meets the bound. Later tries turn to other fillings, from the end backwards."""
-    best = planned(counts, capacity)
-    bound = least_sequences(counts, capacity)
-    for k in range(tries):
-        if sum(f.times for f in best) <= bound:
-            break
-        step = max(0, len(best) - 2 - k)
-        other = planned(counts, capacity, {step: 1 + k % 3})
-        if sum(f.times for f in other) < sum(f.times for f in best):
-            best = other
+    n, tokens = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(counts * lengths)])
+    half = capacity // 2
+    k = np.arange(0, half + 1)
+    top = capacity - k + 1  # lengths below this and over half leave room for k
+    alone, beside = n[-1] - n[np.minimum(top, len(counts))], n[np.minimum(top, len(counts))] - n[half + 1]
+    room = beside * capacity - (tokens[np.minimum(top, len(counts))] - tokens[half + 1])
+    short = tokens[half + 1] - tokens[k]
+    return int((alone + beside + np.maximum(0, -(-(short - room) // capacity))).max())
+
+
+def best_plan(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[Filling]:
+    """The plan with fewest sequences that branch and bound finds; best fit is the first incumbent, so none is worse than that.
+
+    The search is run once for each of SLACKS; after `nodes` fillings past the first whole plan each keeps the incumbent, without that limit it is
+    complete. Done at once when the bound is met.
+    """
+    counts = counts.astype(np.int64)
+    best, bound = best_fit(counts, capacity), least_sequences(counts, capacity)
+    for slack in SLACKS:
+        if sum(f.times for f in best) > bound:
+            best = searched(counts, capacity, best, bound, nodes, slack)
+    return best
+
+
+def searched(counts: np.ndarray, capacity: int, best: list[Filling], bound: int, nodes: int, slack: int) -> list[Filling]:
+    """Depth first: a node takes the longest document left and one of its fillings, as often as the counts allow, then half as often and so on
+    down to once, then the next filling. A branch ends when its sequences and the bound of what is left reach the incumbent's."""
+    fewest = sum(f.times for f in best)
+
+    def choices(left: np.ndarray) -> Iterator[Filling]:
+        for parts in fillings(left, int(np.flatnonzero(left)[-1]), capacity, slack):
+            need: dict[int, int] = {}
+            for length, n in parts:
+                need[length] = need.get(length, 0) + n
+            times = min(int(left[length]) // n for length, n in need.items())
+            while times:
+                yield Filling(sorted(need.items(), reverse=True), times)
+                times //= 2
+
+    path: list[Filling] = []
+    stack, descending = [(counts, 0, choices(counts))], True
+    while stack and nodes > 0:
+        left, used, options = stack[-1]
+        del path[len(stack) - 1 :]
+        step = next(options, None)
+        if step is None:
+            stack.pop()
+            continue
+        nodes -= not descending
+        left, used = left.copy(), used + step.times
+        for length, n in step.parts:
+            left[length] -= n * step.times
+        path.append(step)
+        if not left.any():
+            if used < fewest:
+                best, fewest = list(path), used
+            if fewest <= bound:
+                break
+            descending = False
+        elif descending or used + least_sequences(left, capacity) < fewest:
+            stack.append((left, used, choices(left)))
     return best
 
 
