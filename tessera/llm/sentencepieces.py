@@ -3,17 +3,22 @@
 Words are exploded into their substrings of bounded length, which an equi-join with the piece table turns into the edges of a
 lattice; edges are grouped by word, and a higher-order fold over them finds the word's pieces: for unigram models the Viterbi path,
 for BPE models the merges in the order of their scores (the best path by score sums isn't what such a model means).
+
+Every distinct word of the documents takes that way. The ids of frequent words then go to every task, those of all others by a join to the texts
+that have them; where a word's ids travel makes no difference to them.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
-from itertools import groupby
+from itertools import groupby, islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +28,14 @@ from . import common
 MODEL = "piece_bpe_32k.model"
 #: What stands for a space in pieces.
 GAP = "\u2581"
-#: Words that get their pieces from the lattice, at most: the most frequent ones. Other words are folded where they occur.
-DICTIONARY = 262_144
+#: Words whose ids go to every task, at most: the most frequent ones of about so many documents. Other words' ids are joined to their texts.
+DICTIONARY, SAMPLE = 1 << 19, 1 << 16
+#: Words are cut wherever no piece reaches over, which changes no id; a stretch without such a place that is longer than this (a fold's state is
+#: the bits of a long) is folded where it occurs.
+LONGEST = 62
 #: Rows up to which the piece table counts as small enough to send to every task.
 MOST_PIECES = 1 << 20
-#: Other words that a worker remembers, and rows that it gives back at once.
+#: Words whose stretches a worker remembers, and rows that it gives back at once.
 REMEMBERED, ROWS = 200_000, 256
 
 
@@ -72,6 +80,16 @@ class Pieces:
         out = {p[:k]: -1 for p in self.table for k in range(1, len(p))}
         return out | {p: places[s] for p, (_, s) in self.table.items()}
 
+    @cached_property
+    def pairs(self) -> set[str]:
+        """Neighbouring characters of some piece: no piece, so no merge and no path, reaches over the place between any two others."""
+        return {p[i : i + 2] for p in self.table for i in range(len(p) - 1)}
+
+    def stretches(self, word: str) -> list[str]:
+        """word in parts whose ids, one after the other, are the word's: cut at every place that no piece reaches over."""
+        cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs), len(word)]
+        return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     @cached_property
     def unknown_score(self) -> float:
         """Of a character without a piece in a unigram lattice."""
@@ -126,33 +144,46 @@ class Pieces:
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
-    rows = spark.createDataFrame([(p, i, s) for p, (i, s) in pieces.table.items()], "piece string, id int, score double")
+    rows = spark.createDataFrame([(p, i, s) for p, (i, s) in pieces.table.items()], "piece string, id int, score double").withColumn("hash", F.xxhash64("piece"))
     return F.broadcast(rows) if len(pieces.table) <= MOST_PIECES else rows
 
 
 def words_of(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """Of distinct non-empty words (column word): (word, ids), by the lattice."""
-    spark = words.sparkSession
+    """Of distinct non-empty words (column word) of bounded length: word, its other columns, and ids, by the lattice.
+
+    Nothing moves where the rows are dealt by their words already and the piece table is sent to every task.
+    """
+    spark, others = words.sparkSession, [c for c in words.columns if c != "word"]
     n = F.length("word")
-    starts = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    subs = starts.select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + pieces.longest))).alias("e"))
-    subs = subs.withColumn("piece", F.expr("substring(word, s + 1, e - s)"))
-    edges = subs.join(piece_table(spark, pieces), "piece", "left")
-    edge = F.when(F.col("id").isNotNull(), F.struct((-F.col("score")).alias("cost"), "s", "e", "id"))
-    lattice = edges.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    cuts = merged_cuts() if pieces.kind == "bpe" else viterbi_cuts(pieces.unknown_score)
-    return lattice.withColumn("cuts", cuts).select("word", ids_between(pieces).alias("ids"))
+    starts = words.select("word", *others, F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    subs = starts.select("word", *others, "s", F.explode(F.sequence(F.col("s") + 1, F.least(n, F.col("s") + pieces.longest))).alias("e"))
+    subs = subs.withColumn("sub", F.expr("substring(word, s + 1, e - s)"))
+    # by the pieces' hashes, whose joins are quick; a piece of the same hash that isn't the substring makes no edge
+    edges = subs.join(piece_table(spark, pieces), F.xxhash64("sub") == F.col("hash"), "left").withColumn("id", F.when(F.col("sub") == F.col("piece"), F.col("id")))
+    edges = edges.filter("id IS NOT NULL OR e = s + 1")  # single characters keep words without a piece
+    one = F.lit(1).cast("long")
+    ends, inner = F.expr("shiftleft(1L, s) | shiftleft(1L, e)"), F.expr("shiftleft(1L, e) - shiftleft(1L, s + 1)")
+    edge = F.when(F.col("id").isNotNull(), F.struct((-F.col("score")).alias("cost"), "s", "e", "id", ends.alias("ends"), inner.alias("inner")))
+    lattice = edges.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"), *(F.min(c).alias(c) for c in others))
+    if pieces.kind != "bpe":
+        return lattice.withColumn("cuts", viterbi_cuts(pieces.unknown_score)).select("word", *others, ids_between(pieces).alias("ids"))
+    lattice = lattice.withColumn("cut", merged_cuts())
+    taken = F.filter("edges", lambda x: (F.col("cut").bitwiseAND(x["ends"]) == x["ends"]) & (F.col("cut").bitwiseAND(x["inner"]) == 0))
+    lattice = lattice.withColumn("taken", F.array_sort(F.transform(taken, lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id")))))
+    lattice = lattice.withColumn("cuts", F.filter(F.sequence(F.lit(0), F.length("word")), lambda p: F.expr("cut").bitwiseAND(F.call_function("shiftleft", one, p)) != 0))
+    whole = F.size("taken") == F.bit_count("cut") - 1
+    return lattice.select("word", *others, F.when(whole, F.transform("taken", lambda x: x["id"])).otherwise(ids_between(pieces)).alias("ids"))
 
 
 def merged_cuts() -> Column:
-    """Where the symbols of a word begin, and its end, after all merges: edges in the order of their scores (then from the left), each taken if it is two neighbouring symbols by then."""
+    """Where the symbols of a word begin, and its end, after all merges, as the bits of a long: edges in the order of their scores (then from the left), each taken if it is two neighbouring symbols by then."""
 
-    def step(cuts: Column, x: Column) -> Column:
-        within = lambda p: (p > x["s"]) & (p < x["e"])
-        fits = F.array_contains(cuts, x["s"]) & F.array_contains(cuts, x["e"]) & (F.size(F.filter(cuts, within)) == 1)
-        return F.when(fits, F.filter(cuts, lambda p: ~within(p))).otherwise(cuts)
+    def step(cut: Column, x: Column) -> Column:
+        within = cut.bitwiseAND(x["inner"])
+        fits = (cut.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(within) == 1)
+        return F.when(fits, cut.bitwiseXOR(within)).otherwise(cut)
 
-    return F.aggregate("edges", F.sequence(F.lit(0), F.length("word")), step)
+    return F.aggregate("edges", F.expr("shiftleft(1L, length(word) + 1) - 1"), step)
 
 
 def viterbi_cuts(unknown: float) -> Column:
@@ -188,49 +219,94 @@ def ids_between(pieces: Pieces) -> Column:
     return F.flatten(F.transform(places, of))
 
 
+WORDS = re.compile(f"{GAP}*[^{GAP}]+|{GAP}+")
+
+
+def words_in(text: str) -> Iterator[list[str]]:
+    """The words of a text, block by block: a gap before the text, gaps for spaces; no piece reaches over the gap before a word."""
+    carry = GAP
+    for block in common.blocks(text, space=" ".__eq__) if text else ():
+        yield WORDS.findall(carry + block.replace(" ", GAP))
+        carry = ""
+
+
 def frequent_words(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY) -> DataFrame:
-    """The most frequent words of all documents, each with the gap before it: at most `most`, cut at a whole count.
+    """The most frequent words of a sample of about SAMPLE documents: at most `most`, cut at a whole count. Words that a task meets once are left out.
 
-    Counts are summed in each task before the shuffle; how many words have which count decides where to cut.
+    Only what is sent to every task hangs on this, no result does. How many words have which count decides where to cut.
     """
-    words = docs.select(F.explode(F.split(F.col(text_col).cast("string"), " ")).alias("w")).filter((F.col("w") != "") & ~F.contains("w", F.lit(GAP)))
-    counts = common.settled(words.groupBy("w").agg(F.count("*").alias("n")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                for words in words_in(text.as_py() or ""):
+                    counts.update(words)
+        found = {w: n for w, n in counts.items() if n > 1 and len(w) <= LONGEST}
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+
+    text = F.col(text_col).cast("string")
+    sample = common.bounded_sample(docs.select(text.alias("text")), F.col("text"), SAMPLE)
+    counts = common.settled(sample.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     held, cut = 0, None
     for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
         held += r["words"]
         if held > most:
             break
         cut = r["n"]
-    return counts.filter(F.col("n") >= cut if cut is not None else F.lit(False)).select(F.concat(F.lit(GAP), "w").alias("word"))
-
+    return counts.filter(F.col("n") >= cut if cut is not None else F.lit(False)).select("word")
 
-class Encoder(dict):
-    """Words to their ids as bytes: those of the lattice, and others as they are met, folded; the latter are forgotten when they are too many."""
 
-    def __init__(self, pieces: Pieces, words: dict[str, bytes]):
-        super().__init__(words)
-        self.pieces, self.words = pieces, words
+class Encoder:
+    """Texts to ids, given the ids of words and stretches of words as bytes: `known` for all texts, `own` for one."""
 
-    def __reduce__(self):
-        return Encoder, (self.pieces, self.words)
+    def __init__(self, pieces: Pieces, known: dict[str, bytes]):
+        self.pieces, self.known, self.cut = pieces, known, {}
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > len(self.words) + REMEMBERED:
-            self.clear()
-            self.update(self.words)
-        found = self[word] = np.asarray(self.pieces.fold(word), "<i4").tobytes()
+    @classmethod
+    def of(cls, pieces: Pieces, words: list[str], stretches: dict[str, bytes]) -> Encoder:
+        return cls(pieces, stretches | {w: b"".join(stretches[p] for p in pieces.stretches(w)) for w in words})
+
+    def __getstate__(self):
+        return self.__dict__ | {"cut": {}}
+
+    def stretches(self, word: str) -> list[str]:
+        if (found := self.cut.get(word)) is None:
+            if len(self.cut) >= REMEMBERED:
+                self.cut.clear()
+            found = self.pieces.stretches(word)
+            if len(word) <= LONGEST:
+                self.cut[word] = found
         return found
 
-    def encode(self, text: str) -> np.ndarray:
-        """A gap before the text, gaps for spaces; no piece reaches over the gap before a word, so words are encoded one by one."""
-        out, carry = [], GAP
-        for block in common.blocks(text, space=" ".__eq__) if text else ():
-            out.extend(map(self.__getitem__, WORDS.findall(carry + block.replace(" ", GAP))))
-            carry = ""
-        return np.frombuffer(b"".join(out), "<i4")
+    def unseen(self, text: str) -> set[str]:
+        """The stretches of the text's words that the lattice has yet to give ids to."""
+        words = set().union(*words_in(text))
+        return {p for w in words if w not in self.known for p in self.stretches(w) if len(p) <= LONGEST and p not in self.known}
 
+    def encode(self, text: str, own: dict[str, bytes]) -> np.ndarray:
+        here = _Here(self, own)
+        return np.frombuffer(b"".join([b"".join(map(here.__getitem__, words)) for words in words_in(text)]), "<i4")
 
-WORDS = re.compile(f"{GAP}*[^{GAP}]+|{GAP}+")
+
+class _Here(dict):
+    """The ids of one text's words: known ones, and others put together of their stretches, of which those longer than LONGEST are folded."""
+
+    def __init__(self, encoder: Encoder, own: dict[str, bytes]):
+        super().__init__(own)
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> bytes:
+        if (found := self.encoder.known.get(word)) is not None:
+            return found
+        found = self[word] = b"".join(map(self.stretch, self.encoder.stretches(word)))
+        return found
+
+    def stretch(self, part: str) -> bytes:
+        if len(part) > LONGEST:
+            return np.asarray(self.encoder.pieces.fold(part), "<i4").tobytes()
+        found = self.encoder.known.get(part)
+        return self.get(part) if found is None else found
 
 
 class Decoder:
@@ -254,13 +330,41 @@ def encode_documents(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", te
     """A row per document: its id (or the columns `keep`) and ids, the whole text's piece ids; with `check` also round_trip, whether they decode to the text.
 
     Null texts have null ids (and a round trip), empty ones none. Repeated rows are encoded alike; an empty table gives an empty result;
-    other columns are not read. The words of the lattice (bounded by `most`) go to every task; any other word is folded by the task that
-    meets it.
+    other columns are not read. Words are cut where no piece reaches over, and all stretches of up to LONGEST characters get their ids from the
+    lattice; longer ones (a run of letters without a space) are folded in the task, in time that grows as their length does, times its logarithm.
+
+    Those that are not among the known ones travel with their text's hash: each distinct one once a text to the lattice, its ids back to the text.
     """
     keep = keep or [id_col]
-    table = {r["word"]: np.asarray(r["ids"], "<i4").tobytes() for r in words_of(frequent_words(docs, text_col, most), pieces).toLocalIterator()}
-    shared = docs.sparkSession.sparkContext.broadcast(Encoder(pieces, table))
-    rows = docs.select(F.col(text_col).cast("string").alias("_read_text"), *keep)
+    frequent = [r["word"] for r in frequent_words(docs, text_col, most).toLocalIterator()]
+    deal = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)  # few bytes, much work: not to be put together
+    parts = docs.sparkSession.createDataFrame(pd.DataFrame({"word": sorted({p for w in frequent for p in pieces.stretches(w)})}, dtype="str"), "word string")
+    known = words_of(parts.repartition(deal, "word"), pieces).toArrow().combine_chunks()  # the stretches of `most` words
+    table = dict(zip(known["word"].to_pylist(), bytes_of(known["ids"].combine_chunks()), strict=True))
+    shared = docs.sparkSession.sparkContext.broadcast(Encoder.of(pieces, frequent, table))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(text.alias("_read_text"), F.xxhash64(text).alias("_key"), *keep)
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, seen = shared.value, set()  # copies in a task's own rows are asked for once
+        for batch in batches:
+            at, found = [], []
+            for i, (t, key) in enumerate(zip(batch.column(0), batch.column(1).to_pylist(), strict=True)):
+                t = t.as_py() or ""
+                if (key, hash(t)) not in seen:
+                    seen.add((key, hash(t)))
+                    words = encoder.unseen(t)
+                    at.extend([i] * len(words))
+                    found.extend(words)
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(at, pa.int64())), pa.array(found, pa.string())], ["_key", "word"])
+
+    met = rows.select("_read_text", "_key").mapInArrow(others, "_key long not null, word string not null").repartition(deal, "word").distinct()
+    # the least key of a word is below each of its keys; asking for it lets both sides of the join read one exchange
+    lattice = words_of(met.groupBy("word").agg(F.min("_key").alias("_least")), pieces)
+    given = met.join(lattice, "word").filter("_key >= _least").groupBy("_key").agg(F.collect_list(F.struct("word", "ids")).alias("_own"))
+    copies = rows.groupBy("_key").agg(F.count("*").alias("_copies"))
+    side = common.stored(copies.join(given, "_key", "left"))
+    joined = common.join_with_hot_keys(rows, side, "_key", "_copies").select("_read_text", "_own", *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = shared.value, Decoder(pieces)
@@ -268,14 +372,32 @@ def encode_documents(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", te
             for at in range(0, len(whole), ROWS):
                 batch = whole.slice(at, ROWS)
                 texts = batch.column(0).to_pylist()
-                found = [None if t is None else encoder.encode(t) for t in texts]
-                columns = [*batch.columns[1:], pa.array(found, pa.list_(pa.int32()))]
+                found = [None if t is None else encoder.encode(t, own) for t, own in zip(texts, owned(batch.column(1)), strict=True)]
+                columns = [*batch.columns[2:], pa.array(found, pa.list_(pa.int32()))]
                 if check:
                     columns.append(pa.array([t is None or decoder.decode(x.tolist()) == t.replace(GAP, " ") for t, x in zip(texts, found, strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "ids", *["round_trip"] * check])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[1:])
-    return rows.mapInArrow(run, f"{schema}, ids array<int>" + ", round_trip boolean" * check)
+    schema = ", ".join(f"`{c}` {t}" for c, t in joined.dtypes[2:])
+    return joined.mapInArrow(run, f"{schema}, ids array<int>" + ", round_trip boolean" * check)
+
+
+def bytes_of(lists: pa.Array) -> Iterator[bytes]:
+    """Each list of ids as bytes."""
+    if isinstance(lists, pa.ChunkedArray):  # of no rows
+        return
+    values = lists.flatten().to_numpy(zero_copy_only=False).astype("<i4").tobytes()
+    ends = 4 * np.cumsum([0, *lists.value_lengths().to_pylist()])
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        yield values[a:b]
+
+
+def owned(lists: pa.Array) -> Iterator[dict[str, bytes]]:
+    """Of lists of (word, ids): word to ids as bytes."""
+    entries = lists.flatten()
+    pairs = zip(entries.field(0).to_pylist(), bytes_of(entries.field(1)), strict=True)
+    for n in lists.value_lengths().fill_null(0).to_pylist():
+        yield dict(islice(pairs, n))
 
 
 def decode_documents(encoded: DataFrame, pieces: Pieces, ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
