@@ -29,14 +29,14 @@ MODEL = "piece_bpe_32k.model"
 #: What stands for a space in pieces.
 GAP = "\u2581"
 #: Words whose ids go to every task, at most: the most frequent ones of about so many documents. Other words' ids are joined to their texts.
-DICTIONARY, SAMPLE = 1 << 19, 1 << 16
+DICTIONARY, SAMPLE = 1 << 18, 1 << 14
 #: Words are cut wherever no piece reaches over, which changes no id; a stretch without such a place that is longer than this (a fold's state is
 #: the bits of a long) is folded where it occurs.
 LONGEST = 62
 #: Rows up to which the piece table counts as small enough to send to every task.
 MOST_PIECES = 1 << 20
 #: Words whose stretches a worker remembers, and rows that it gives back at once.
-REMEMBERED, ROWS = 200_000, 256
+REMEMBERED, ROWS = 100_000, 256
 
 
 @dataclass
@@ -257,18 +257,22 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = DICTIONA
     return counts.filter(F.col("n") >= cut if cut is not None else F.lit(False)).select("word")
 
 
-class Encoder:
-    """Texts to ids, given the ids of words and stretches of words as bytes: `known` for all texts, `own` for one."""
+class Encoder(dict):
+    """Texts to ids, given the ids of words and stretches of words as bytes: its own for all texts, `own` for the one at hand.
+
+    A word that is in neither is put together of its stretches, of which those longer than LONGEST are folded.
+    """
 
     def __init__(self, pieces: Pieces, known: dict[str, bytes]):
-        self.pieces, self.known, self.cut = pieces, known, {}
+        super().__init__(known)
+        self.pieces, self.cut, self.own = pieces, {}, {}
 
     @classmethod
     def of(cls, pieces: Pieces, words: list[str], stretches: dict[str, bytes]) -> Encoder:
         return cls(pieces, stretches | {w: b"".join(stretches[p] for p in pieces.stretches(w)) for w in words})
 
-    def __getstate__(self):
-        return self.__dict__ | {"cut": {}}
+    def __reduce__(self):
+        return Encoder, (self.pieces, dict(self))
 
     def stretches(self, word: str) -> list[str]:
         if (found := self.cut.get(word)) is None:
@@ -282,31 +286,22 @@ class Encoder:
     def unseen(self, text: str) -> set[str]:
         """The stretches of the text's words that the lattice has yet to give ids to."""
         words = set().union(*words_in(text))
-        return {p for w in words if w not in self.known for p in self.stretches(w) if len(p) <= LONGEST and p not in self.known}
+        return {p for w in words if w not in self for p in self.stretches(w) if len(p) <= LONGEST and p not in self}
 
     def encode(self, text: str, own: dict[str, bytes]) -> np.ndarray:
-        here = _Here(self, own)
-        return np.frombuffer(b"".join([b"".join(map(here.__getitem__, words)) for words in words_in(text)]), "<i4")
-
-
-class _Here(dict):
-    """The ids of one text's words: known ones, and others put together of their stretches, of which those longer than LONGEST are folded."""
-
-    def __init__(self, encoder: Encoder, own: dict[str, bytes]):
-        super().__init__(own)
-        self.encoder = encoder
+        self.own = own
+        return np.frombuffer(b"".join([b"".join(map(self.__getitem__, words)) for words in words_in(text)]), "<i4")
 
     def __missing__(self, word: str) -> bytes:
-        if (found := self.encoder.known.get(word)) is not None:
-            return found
-        found = self[word] = b"".join(map(self.stretch, self.encoder.stretches(word)))
+        found = self.own.get(word)
+        if found is None:
+            found = self.own[word] = b"".join(map(self.stretch, self.stretches(word)))
         return found
 
     def stretch(self, part: str) -> bytes:
         if len(part) > LONGEST:
-            return np.asarray(self.encoder.pieces.fold(part), "<i4").tobytes()
-        found = self.encoder.known.get(part)
-        return self.get(part) if found is None else found
+            return np.asarray(self.pieces.fold(part), "<i4").tobytes()
+        return self[part] if part in self else self.own[part]
 
 
 class Decoder:

@@ -2,6 +2,7 @@ import copy
 import random
 import time
 
+import numpy as np
 import pytest
 
 from tessera.llm import sentencepieces
@@ -50,14 +51,19 @@ def test_ids_do_not_hang_on_what_is_sent_to_every_task(spark, bpe, monkeypatch):
     monkeypatch.setattr(sentencepieces, "SAMPLE", 5)
     rows.append(sorted((r["doc_id"], r["ids"]) for r in sentencepieces.encode_documents(docs, pieces).collect()))
     assert rows[0] == rows[1] == rows[2] == rows[3]
-    # every word of up to LONGEST characters takes the lattice: the fold in the task is never asked for one
-    only = copy.copy(pieces)
 
-    def fails(word):
-        raise AssertionError(word)
 
-    only.fold = fails
-    assert sorted((r["doc_id"], r["ids"]) for r in sentencepieces.encode_documents(docs, only, most=60).collect()) == rows[0]
-    long = spark.createDataFrame([(1, "e" * 100)], "doc_id long, text string")
-    with pytest.raises(Exception, match="AssertionError"):
-        sentencepieces.encode_documents(long, only).collect()
+def test_only_what_is_too_long_is_folded_in_the_task(bpe):
+    """Without the ids that the lattice gives, a text of words of up to LONGEST characters can't be encoded: nothing else stands in for it."""
+    pieces, library = bpe
+    text = "the words of this text, nndenächtz & " + "e" * 62
+    only = copy.copy(pieces)
+    only.fold = lambda word: 1 / 0
+    encoder = sentencepieces.Encoder(only, {})
+    own = {p: np.asarray(pieces.fold(p), "<i4").tobytes() for p in encoder.unseen(text)}
+    assert encoder.encode(text, dict(own)).tolist() == library.encode(text)
+    for p in own:
+        with pytest.raises(KeyError):
+            encoder.encode(text, {q: x for q, x in own.items() if q != p})
+    with pytest.raises(ZeroDivisionError):
+        encoder.encode("e" * 100, {})
