@@ -72,4 +72,6 @@ def hashed_bucket(word: Column, dim: int) -> Column:
 def hashed_vector(text: Column, dim: int) -> Column:
     """How many words of the text fall into each of `dim` buckets, as doubles; for a few texts (a bulk goes through an Embedder)."""
     buckets = F.transform(words(text), lambda w: hashed_bucket(w, dim))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.size(F.filter(buckets, lambda x: x == b)).cast("double"))
+    # in an array of one, so that the words are hashed once and not once a bucket
+    counts = lambda own: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.size(F.filter(own, lambda x: x == b)).cast("double"))
+    return F.transform(F.array(buckets), counts)[0]

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_distance
 
-#: Questions whose vectors one pass over the store takes along; more are asked in further passes.
-BLOCK = 4_096
+#: Bytes of question vectors that one pass over the store takes along, as a broadcast; only more questions than fit there are asked in further passes.
+BLOCK_BYTES = 64 << 20
 #: Questions that a batch of rows is multiplied with at once.
 SLICE = 256
 
@@ -25,17 +25,18 @@ def top_single(store: DataFrame, question: list[float], k: int, id_col: str = "i
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.asc_nulls_last("distance"), id_col)))  # k rows
 
 
-def top_batch(store: DataFrame, questions: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding", qid_col: str = "qid", question_col: str = "vector", block: int = BLOCK) -> DataFrame:
+def top_batch(store: DataFrame, questions: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding", qid_col: str = "qid", question_col: str = "vector", block: int | None = None) -> DataFrame:
     """For each question its k nearest rows: qid, id, distance, rank (from 1), by the rules of top_single().
 
     Each task multiplies its rows with a block of questions and keeps k a question, so at most k rows of a question and task are
-    shuffled to be ranked. Blocks are of a fixed size; a table of questions of any length is asked in as many passes as it has blocks.
+    shuffled to be ranked. A block is `block` questions, by default what BLOCK_BYTES hold; a table of questions of any length is asked in
+    as many passes as it has blocks.
     """
     out = None
     held: list[tuple] = []
     for r in questions.select(qid_col, question_col).toLocalIterator():
         held.append((r[0], r[1]))
-        if len(held) == block:
+        if len(held) >= (block or max(1, BLOCK_BYTES // (8 * max(1, len(r[1] or ()))))):
             out, held = _union(out, _best(store, held, k, id_col, vector_col, qid_col, questions)), []
     if held or out is None:
         out = _union(out, _best(store, held, k, id_col, vector_col, qid_col, questions))
@@ -51,14 +52,15 @@ def _best(store: DataFrame, held: list[tuple], k: int, id_col: str, vector_col:
     size = len(held[0][1]) if held else 0
     if any(len(v) != size for _, v in held):
         raise ValueError("vectors of different lengths")
-    asked = np.array([v for _, v in held], float).reshape(len(held), size)
-    lengths = np.sqrt((asked * asked).sum(axis=1))
-    qids = pa.array([q for q, _ in held])
+    vectors_asked = np.array([v for _, v in held], float).reshape(len(held), size)
+    shared = store.sparkSession.sparkContext.broadcast((vectors_asked, np.sqrt((vectors_asked * vectors_asked).sum(axis=1)), pa.array([q for q, _ in held])))
+    n_asked = len(held)
     rows = store.select(id_col, vector_col)
     schema = f"`{qid_col}` {questions.schema[qid_col].dataType.simpleString()}, `{id_col}` {store.schema[id_col].dataType.simpleString()}, distance double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches if held else ():
+        asked, lengths, qids = shared.value
+        for batch in batches if n_asked else ():
             vectors = batch.column(1)
             if (got := set(pc.unique(pc.list_value_length(vectors)).to_pylist()) - {None, size}):
                 raise ValueError(f"vectors of different lengths: {size} and {sorted(got)}")
@@ -69,7 +71,7 @@ def _best(store: DataFrame, held: list[tuple], k: int, id_col: str, vector_col:
             # rows in the order of their ids, so that a place stands for an id where distances tie
             order = np.asarray(pc.sort_indices(batch.column(0)))
             values, norms, n = values[order], norms[order], min(k, len(batch))
-            for low in range(0, len(held), SLICE):
+            for low in range(0, n_asked, SLICE):
                 part = slice(low, low + SLICE)
                 with np.errstate(all="ignore"):
                     d = 1.0 - (values @ asked[part].T) / np.outer(norms, lengths[part])

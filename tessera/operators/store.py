@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,10 @@ def without_collection(rows: DataFrame, collection, column: str = "collection")
     return rows.filter(~F.col(column).eqNullSafe(F.lit(collection)))
 
 
+class Conflict(RuntimeError):
+    """Another writer brought out a snapshot while this one was being made."""
+
+
 class ChunkStore:
     """Upserts write a new snapshot and never the one that is read, so a failure leaves the store as it was; the commit marker that
     Spark writes last is what makes a snapshot count. Ids are unique within a collection. `keep` older snapshots stay for readers."""
@@ -44,23 +50,39 @@ class ChunkStore:
 
     def read(self) -> DataFrame:
         """The collection's rows; none before the first write."""
-        have = self.snapshots()
+        return self._rows(self.snapshots())
+
+    def _rows(self, have: list[int]) -> DataFrame:
         return self.spark.read.schema(SCHEMA).parquet(f"{self.at}/v={have[-1]}") if have else self.spark.createDataFrame([], SCHEMA)
 
-    def _write(self, rows: DataFrame) -> None:
+    def staged(self, rows: DataFrame, name: str) -> DataFrame:
+        """rows written beside the store and read again, so that what made them (parsing, splitting, embedding) runs once. See discard()."""
+        at = f"{self.at}/stage-{name}"
+        rows.write.parquet(at)
+        return self.spark.read.schema(rows.schema).parquet(at)
+
+    def discard(self, name: str) -> None:
+        self.fs.delete(self.path(f"{self.at}/stage-{name}"), True)
+
+    def _write(self, make) -> None:
+        """A new snapshot of make(rows of the last one). It is written aside and then takes its number, unless another writer has taken that."""
         have = self.snapshots()
-        number = (have[-1] if have else 0) + 1
-        # an attempt that failed may have left an incomplete directory of this number
-        rows.select(*[c.split()[0] for c in SCHEMA.split(", ")]).write.mode("overwrite").parquet(f"{self.at}/v={number}")
+        rows, aside = make(self._rows(have)), f"{self.at}/stage-{uuid.uuid4().hex}"
+        rows.select(*[c.split()[0] for c in SCHEMA.split(", ")]).write.parquet(aside)
+        number = self.path(f"{self.at}/v={(have[-1] if have else 0) + 1}")
+        if self.snapshots() != have or not self.fs.rename(self.path(aside), number) or self.fs.exists(self.path(f"{number}/{aside.rsplit('/', 1)[1]}")):
+            self.fs.delete(self.path(aside), True)
+            raise Conflict(f"{self.at} was written to by another writer; run the upsert again")
         for old in have[: len(have) - self.keep] if self.keep else have:
             self.fs.delete(self.path(f"{self.at}/v={old}"), True)
 
     def upsert(self, incoming: DataFrame) -> None:
-        self._write(merged(self.read(), incoming))
+        """incoming is read twice: stage it where it is dear."""
+        self._write(lambda rows: merged(rows, incoming))
 
     def reset_to(self, rows: DataFrame) -> None:
         """The collection with these rows and no others."""
-        self._write(last_of(rows))
+        self._write(lambda _: last_of(rows))
 
     def unknown(self, rows: DataFrame, model: str) -> DataFrame:
         """Rows whose id the store doesn't hold with an embedding of this model: what an ingest has yet to embed."""
@@ -69,8 +91,7 @@ class ChunkStore:
     def remove_stale(self, rows: DataFrame) -> None:
         """Drops stored chunks of the source files in `rows` that aren't among `rows` (left by edited files); an option, not done on upsert."""
         files = rows.select("source_file").distinct()
-        kept = self.read().join(files, "source_file", "left_anti").unionByName(self.read().join(rows.select("id"), "id", "left_semi"))
-        self._write(kept.dropDuplicates(["id"]))
+        self._write(lambda held: held.join(files, "source_file", "left_anti").unionByName(held.join(rows.select("id"), "id", "left_semi")).dropDuplicates(["id"]))
 
 
 def batches(chunks: DataFrame, size: int = 64) -> DataFrame:

@@ -19,8 +19,6 @@ from ..operators.reports import ingest_report, ingest_total
 from ..sources.tables import pages_of, table
 
 SIZE, OVERLAP, BATCH, K, DIM = 1200, 200, 64, 5, 64
-#: More neighbours than any collection here has rows.
-ALL = 1_000_000
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
@@ -59,6 +57,17 @@ def chunk_full(spark: SparkSession, d: str) -> DataFrame:
     return chunk_pages(_pages(spark, d), SIZE, OVERLAP)
 
 
+def chunk_small(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that are no longer than a chunk."""
+    return chunk_pages(_pages(spark, d).filter(F.length("page_content") <= SIZE), SIZE, OVERLAP)
+
+
+def chunk_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Longer pages whose lines are all shorter than a chunk: merged from whole lines."""
+    longest = F.array_max(F.transform(F.split("page_content", "\n"), F.length))
+    return chunk_pages(_pages(spark, d).filter((F.length("page_content") > SIZE) & (longest < SIZE - 1)), SIZE, OVERLAP)
+
+
 def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
     rows = chunk_pages(_pages(spark, d).withColumn("whole", F.col("page_content")), SIZE, OVERLAP)
     return rows.agg(
@@ -140,7 +149,8 @@ def topk_collection(spark: SparkSession, d: str) -> DataFrame:
 def topk_short(spark: SparkSession, d: str) -> DataFrame:
     """More neighbours asked for than collection 0 has, and a collection without rows: every question stays."""
     rows, asked = _stored(spark, d), _questions(spark, d)
-    found = retrieval.top_batch(rows.filter("collection = 0"), asked, ALL).select("qid", "rank", "id")
+    all_ = rows.filter("collection = 0").count()
+    found = retrieval.top_batch(rows.filter("collection = 0"), asked, all_ + 1).select("qid", "rank", "id")
     none = retrieval.top_batch(rows.filter("collection = -1"), asked, K).select("qid", "rank", "id")
     tagged = [asked.select("qid").join(x, "qid", "left").withColumn("collection", F.lit(c)) for x, c in ((found, 0), (none, -1))]
     return tagged[0].unionByName(tagged[1])
@@ -205,7 +215,7 @@ def answer_stub(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__.rstrip("_"): f
     for f in (
-        src_list, page_scan, chunk_full, chunk_stats, chunk_index, chunk_id, chunk_id_missing_meta, batch_assign, ingest_report_, ingest_total_, upsert_merge, store_reset, cosine_pairs, topk_single,
+        src_list, page_scan, chunk_full, chunk_small, chunk_lines, chunk_stats, chunk_index, chunk_id, chunk_id_missing_meta, batch_assign, ingest_report_, ingest_total_, upsert_merge, store_reset, cosine_pairs, topk_single,
         topk_batch, topk_collection, topk_short, context_build, context_defaults, prompt, strip_think, question_norm, question_filter, model_missing, embed_hash, answer_stub,
     )
 }
@@ -292,6 +302,8 @@ ORACLE_SQL = {
     "src_list": "SELECT DISTINCT '/corpus/' || source || '.pdf' AS path, source || '.pdf' AS source_file FROM documents",
     "page_scan": f"WITH {_PAGES} SELECT * FROM pages_",
     "chunk_full": f"WITH RECURSIVE {_CHUNKS} SELECT * FROM chunks_",
+    "chunk_small": f"WITH {_PAGES} SELECT source_file, page, CAST(0 AS INTEGER) AS pos, {_strip('page_content')} AS chunk FROM pages_ WHERE length(page_content) <= {SIZE} AND {_strip('page_content')} <> ''",
+    "chunk_lines": f"WITH RECURSIVE {_CHUNKS} SELECT c.* FROM chunks_ c JOIN pages_ p USING (source_file, page) WHERE length(page_content) > {SIZE} AND list_max(list_transform(string_split(page_content, chr(10)), lambda x: length(x))) < {SIZE - 1}",
     "chunk_stats": f"WITH RECURSIVE {_CHUNKS} SELECT count(*) AS n_chunks, CAST(max(length(chunk)) AS INTEGER) AS longest, CAST(sum(length(chunk)) AS BIGINT) AS chars, CAST(0 AS BIGINT) AS too_long, CAST(0 AS BIGINT) AS not_in_page, CAST(0 AS BIGINT) AS not_stripped FROM chunks_",
     "chunk_index": f"WITH RECURSIVE {_CHUNKS} SELECT source_file, page, pos, chunk_index FROM indexed",
     "chunk_id": f"WITH RECURSIVE {_CHUNKS} SELECT source_file, chunk_index, sha256(source_file || '|' || page || '|' || chunk_index || '|' || chunk) AS id FROM indexed",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,10 @@ from ..settings import Settings
 
 def identified(pages: DataFrame, settings: Settings) -> DataFrame:
     """The chunks of pages: source_file, page, chunk_index (file-wide), id, document."""
-    chunks = indexed(chunk_pages(pages, settings.chunk_size, settings.chunk_overlap))
+    return named(indexed(chunk_pages(pages, settings.chunk_size, settings.chunk_overlap)))
+
+
+def named(chunks: DataFrame) -> DataFrame:
     return chunks.select("source_file", "page", "chunk_index", chunk_id(F.col("source_file"), F.col("page"), F.col("chunk_index"), F.col("chunk")).alias("id"), F.col("chunk").alias("document"))
 
 
@@ -23,13 +28,21 @@ def ingest(spark: SparkSession, pages: DataFrame, settings: Settings, embedder:
     """Brings the pages' chunks into the settings' collection and returns the report per file.
 
     Chunks that the store holds already, with this model's vectors, are not embedded again. Chunks of an earlier state of an edited file
-    stay unless `clean`; `reset` starts the collection anew. Everything is one snapshot: a failure leaves the store as it was.
+    stay unless `clean`; `reset` starts the collection anew. A failure leaves the store as it was. Pages, chunks and embedded rows are staged
+    beside the store, so every file is parsed, every page split and every new chunk embedded once; the report alone stays staged.
     """
-    store = ChunkStore(spark, settings.store_path, settings.collection)
-    chunks = identified(pages, settings)
-    new = chunks if reset else store.unknown(chunks, embedder.name)
-    rows = with_embeddings(new, embedder, "document", settings.batch_size).withColumn("model", F.lit(embedder.name))
-    store.reset_to(rows) if reset else store.upsert(rows)
-    if clean and not reset:
-        store.remove_stale(chunks)
-    return ingest_report(pages, chunks)
+    store, run = ChunkStore(spark, settings.store_path, settings.collection), uuid.uuid4().hex
+    kept = ("pages", "split", "chunks", "new")
+    try:
+        pages = store.staged(pages.select("source_file", "page", "page_content"), f"pages-{run}")
+        split = store.staged(chunk_pages(pages, settings.chunk_size, settings.chunk_overlap), f"split-{run}")
+        chunks = store.staged(named(indexed(split)), f"chunks-{run}")
+        new = chunks if reset else store.unknown(chunks, embedder.name)
+        rows = store.staged(with_embeddings(new, embedder, "document", settings.batch_size).withColumn("model", F.lit(embedder.name)), f"new-{run}")
+        store.reset_to(rows) if reset else store.upsert(rows)
+        if clean and not reset:
+            store.remove_stale(chunks)
+        return store.staged(ingest_report(pages, chunks), f"report-{run}")
+    finally:
+        for name in kept:
+            store.discard(f"{name}-{run}")
