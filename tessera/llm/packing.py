@@ -12,6 +12,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -289,6 +290,7 @@ def searched(counts: np.ndarray, capacity: int, best: list[Filling], bound: int,
     fewest = sum(f.times for f in best)
 
     def choices(left: np.ndarray) -> Iterator[Filling]:
+        left = left.copy()
         for parts in fillings(left, int(np.flatnonzero(left)[-1]), capacity, slack):
             need: dict[int, int] = {}
             for length, n in parts:
@@ -298,31 +300,44 @@ def searched(counts: np.ndarray, capacity: int, best: list[Filling], bound: int,
                 yield Filling(sorted(need.items(), reverse=True), times)
                 times //= 2
 
+    # of a node on the way only its step and how many of its choices are done are kept; they are made again when the search comes back to it
+    left, used, descending = counts.copy(), 0, True
     path: list[Filling] = []
-    stack, descending = [(counts, 0, choices(counts))], True
-    while stack and nodes > 0:
-        left, used, options = stack[-1]
-        del path[len(stack) - 1 :]
+    done, options = [0], choices(left)
+    while nodes > 0:
         step = next(options, None)
         if step is None:
-            stack.pop()
+            done.pop()
+            if not path:
+                break
+            used -= put(left, path.pop(), 1)
+            options = islice(choices(left), done[-1], None)
             continue
+        done[-1] += 1
         nodes -= not descending
-        left, used = left.copy(), used + step.times
-        for length, n in step.parts:
-            left[length] -= n * step.times
-        path.append(step)
+        used += put(left, step, -1)
+        if left.any() and (descending or used + least_sequences(left, capacity) < fewest):
+            path.append(step)
+            done.append(0)
+            options = choices(left)
+            continue
         if not left.any():
+            descending = False
             if used < fewest:
-                best, fewest = list(path), used
+                best, fewest = [*path, step], used
             if fewest <= bound:
                 break
-            descending = False
-        elif descending or used + least_sequences(left, capacity) < fewest:
-            stack.append((left, used, choices(left)))
+        used -= put(left, step, 1)
     return best
 
 
+def put(left: np.ndarray, filling: Filling, sign: int) -> int:
+    """Takes a filling's documents from what is left (sign -1) or puts them back; gives its sequences."""
+    for length, n in filling.parts:
+        left[length] += sign * n * filling.times
+    return filling.times
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length") -> DataFrame:
     """pieces (lengths from 1 to `capacity`) with sequence_id and offset: as few sequences as it can, places gapless from 0.
 
