@@ -25,6 +25,8 @@ CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
 #: Fillings that the search for a plan sets down after its first whole one before it keeps the best so far.
 NODES = 1_000
+#: Fillings that one search tests for dominance; past that it takes the first one at hand to its end.
+TESTS = 20_000
 #: Widths of the bands of waste by which the search is run: the least waste first, or longer documents first within a band.
 SLACKS = (0, 64)
 
@@ -196,17 +198,19 @@ def dominated(parts: list[tuple[int, int]], free: int, waste: int) -> bool:
     return bool(free & (more | spread(several, waste)))
 
 
-def fillings(left: np.ndarray, largest: int, capacity: int, slack: int = 0) -> Iterator[list[tuple[int, int]]]:
+def fillings(left: np.ndarray, largest: int, capacity: int, slack: int = 0, tests: list[int] | None = None) -> Iterator[list[tuple[int, int]]]:
     """The undominated fillings around one document of length `largest`, in bands of waste `slack` wide, the least waste first, within a band those with
     longer documents first.
 
-    The sums that shorter documents can still make bound the waste of every branch, so none is entered in vain.
+    The sums that shorter documents can still make bound the waste of every branch, so none is entered in vain. tests[0], where given, is how many
+    may still be tested: without any left the first one comes untested, as the last.
     """
     room = capacity - largest
     have = [(int(x), int(left[x]) - int(x == largest)) for x in np.flatnonzero(left[: room + 1])]
     have = [(x, n) for x, n in have if n]
     reach = sums_within(have, room)
-    sums = reach[-1] if reach else 1
+    sums, at_hand = reach[-1] if reach else 1, sum(1 << x for x, _ in have)
+    counts, tests = dict(have), [1 << 62] if tests is None else tests
     while sums:
         high = sums.bit_length() - 1
         low = max(0, high - slack)
@@ -216,8 +220,11 @@ def fillings(left: np.ndarray, largest: int, capacity: int, slack: int = 0) -> I
             i, rest, chosen = stack.pop()
             if i < 0:
                 parts = list(chosen)
-                used = dict(parts)
-                free = sum(1 << x for x, n in have if n > used.get(x, 0))
+                if tests[0] <= 0:
+                    yield [(largest, 1), *parts]
+                    return
+                tests[0] -= 1
+                free = at_hand ^ sum(1 << x for x, n in parts if n == counts[x])
                 if not dominated(parts, free, room - high + rest):
                     yield [(largest, 1), *parts]
                 continue
@@ -273,8 +280,8 @@ def least_sequences(counts: np.ndarray, capacity: int) -> int:
 def best_plan(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[Filling]:
     """The plan with fewest sequences that branch and bound finds; best fit is the first incumbent, so none is worse than that.
 
-    The search is run once for each of SLACKS; after `nodes` fillings past the first whole plan each keeps the incumbent, without that limit it is
-    complete. Done at once when the bound is met.
+    The search is run once for each of SLACKS; after `nodes` fillings past the first whole plan, or TESTS tests, each keeps the incumbent; without
+    these limits it is complete. Done at once when the bound is met.
     """
     counts = counts.astype(np.int64)
     best, bound = best_fit(counts, capacity), least_sequences(counts, capacity)
@@ -287,11 +294,11 @@ def best_plan(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[Fil
 def searched(counts: np.ndarray, capacity: int, best: list[Filling], bound: int, nodes: int, slack: int) -> list[Filling]:
     """Depth first: a node takes the longest document left and one of its fillings, as often as the counts allow, then half as often and so on
     down to once, then the next filling. A branch ends when its sequences and the bound of what is left reach the incumbent's."""
-    fewest = sum(f.times for f in best)
+    fewest, tests = sum(f.times for f in best), [TESTS]
 
     def choices(left: np.ndarray) -> Iterator[Filling]:
         left = left.copy()
-        for parts in fillings(left, int(np.flatnonzero(left)[-1]), capacity, slack):
+        for parts in fillings(left, int(np.flatnonzero(left)[-1]), capacity, slack, tests):
             need: dict[int, int] = {}
             for length, n in parts:
                 need[length] = need.get(length, 0) + n
@@ -304,7 +311,7 @@ def searched(counts: np.ndarray, capacity: int, best: list[Filling], bound: int,
     left, used, descending = counts.copy(), 0, True
     path: list[Filling] = []
     done, options = [0], choices(left)
-    while nodes > 0:
+    while descending or nodes > 0 < tests[0]:
         step = next(options, None)
         if step is None:
             done.pop()
