@@ -117,6 +117,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def discard(spark: SparkSession, at: str) -> None:
+    """Deletes a folder of the shared one; nothing if it isn't there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Classes of keys by which rows of no use are kept from moving: a bound on what is sent to every task.
 SIEVE = 1 << 22
 
