@@ -127,6 +127,20 @@ def discard(spark: SparkSession, at: str) -> None:
 SIEVE = 1 << 22
 
 
+def spare(rows: DataFrame, name: str) -> str:
+    """name, or what it takes to be none of the rows' own columns (case doesn't count)."""
+    own = {c.lower() for c in rows.columns}
+    while name.lower() in own:
+        name += "_"
+    return name
+
+
+def placed(docs: DataFrame, column: str = "text") -> tuple[DataFrame, str]:
+    """docs with its columns named by their places (toDF() gives them back), so that none has a name of ours; and the new name of `column`."""
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names[docs.columns.index(column)]
+
+
 def kind_of(key: str) -> Column:
     """The class of a key, of SIEVE."""
     return F.pmod(F.xxhash64(key), F.lit(SIEVE)).cast("int")
@@ -134,12 +148,14 @@ def kind_of(key: str) -> Column:
 
 def sieved(rows: DataFrame, some: DataFrame, key: str) -> DataFrame:
     """The rows whose key is in `some` (settled; its only column), and few others: those in a class of one of `some`. Nothing moves."""
-    sieve = F.broadcast(some.select(kind_of(key).alias("_class")).distinct())
-    return rows.withColumn("_class", kind_of(key)).join(sieve, "_class", "left_semi").drop("_class")
+    kind = spare(rows, "_class")
+    sieve = F.broadcast(some.select(kind_of(key).alias(kind)).distinct())
+    return rows.withColumn(kind, kind_of(key)).join(sieve, kind, "left_semi").drop(kind)
 
 
 def parted(rows: DataFrame, some: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """The rows whose key is in `some` (settled; its only column), and the others. Of rows only those move whose key is in a class of one of `some`."""
-    sieve = F.broadcast(some.select(kind_of(key).alias("_class")).distinct())
-    maybe, never = sieved(rows, some, key), rows.withColumn("_class", kind_of(key)).join(sieve, "_class", "left_anti").drop("_class")
-    return maybe.join(some, key, "left_semi"), never.unionByName(maybe.join(some, key, "left_anti"))
+    kind = spare(rows, "_class")
+    sieve = F.broadcast(some.select(kind_of(key).alias(kind)).distinct())
+    maybe, never = sieved(rows, some, key), rows.withColumn(kind, kind_of(key)).join(sieve, kind, "left_anti").drop(kind)
+    return maybe.join(some, key, "left_semi").select(*rows.columns), never.unionByName(maybe.join(some, key, "left_anti")).select(*rows.columns)

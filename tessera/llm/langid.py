@@ -164,8 +164,9 @@ def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     profiles = learn_profiles(docs.filter(~common.held_out()))
     if not profiles.languages:
         return docs
-    rated = identify_languages(docs, profiles, keep=docs.columns, into=("_language", "_nearness"))
-    return rated.filter((F.col("_language") != UNKNOWN) & (F.col("_nearness") >= least)).select(*docs.columns)
+    rows, text = common.placed(docs)
+    rated = identify_languages(rows, profiles, text_col=text, keep=rows.columns, into=("language", "nearness"))
+    return rated.filter((F.col("language") != UNKNOWN) & (F.col("nearness") >= least)).select(*rows.columns).toDF(*docs.columns)
 
 
 def op1_rank_order_language_id(spark, sf_dir: str) -> DataFrame:

@@ -202,7 +202,8 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The documents whose quality is at least `least`, learned from the labels of docs; columns as they were. Without labels all stay."""
     model = fit(labelled_sample(docs, labels, "quality"))
-    return score_quality(docs, model, keep=docs.columns, into="_quality").filter(F.col("_quality") >= least).select(*docs.columns)
+    rows, text = common.placed(docs)
+    return score_quality(rows, model, text_col=text, keep=rows.columns, into="quality").filter(F.col("quality") >= least).select(*rows.columns).toDF(*docs.columns)
 
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:

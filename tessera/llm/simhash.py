@@ -290,15 +290,20 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, id_col: str = "doc_id
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", named: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
-    """One document of each group that `named` makes, the one with the smallest id; of repeated rows of that id one stays. Null ids stay as they are."""
-    rows = common.stored(docs.withColumn("_row", F.monotonically_increasing_id()))
-    groups = named(rows, id_col="_row").select("_row", "component_id")
-    least = F.min(F.struct(F.col(id_col).alias("id"), "_row"))
-    ids = rows.select("_row", id_col).filter(F.col(id_col).isNotNull())
-    ids = ids.join(groups, "_row")
-    kept = ids.groupBy("component_id").agg(least.alias("least")).groupBy("least.id").agg(F.min("least._row").alias("_row")).select("_row")
-    dropped = common.stored(ids.select("_row").join(kept, "_row", "left_anti"))
-    return common.parted(rows, dropped, "_row")[1].drop("_row")
+    """One row of each group that `named` makes, the one with the smallest id; columns, whatever their names, as they were.
+
+    Groups are of rows, not of ids: rows that share an id and have texts that aren't alike all stay, and of repeated rows one does. A null
+    id comes after all others, and a group of nothing but null ids keeps one row. Null, empty and blank texts are alike. An empty table
+    gives an empty result.
+    """
+    row = common.spare(docs, "_row")
+    rows = common.stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = named(rows, id_col=row).select(F.col(row).alias("row"), "component_id")
+    ids = rows.select(F.col(row).alias("row"), F.col(id_col).alias("id")).join(groups, "row")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    kept = ids.groupBy("component_id").agg(first.alias("first")).select("first.row")
+    dropped = common.stored(ids.select("row").join(kept, "row", "left_anti").withColumnRenamed("row", row))
+    return common.parted(rows, dropped, row)[1].select(*docs.columns)
 
 
 def op2_simhash_trie_join(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 EN = "the of and to in is that it was for on are with as his they be at one have this from by hot word but what some we can out other were all there when up use your how said an each she which do their time if will way about many then them write would like so these her long make thing see him two has look more day could go come did number sound no most people my over know water than call first who may down side been now find".split()
 DE = "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde schon wenn ihre kann gegen vom können schön größe über straße jahr zwei haus stadt weg licht zeit welt".split()
 #: Names that operators use for columns of their own, and that a table may bring along.
-CLASHES = ["id", "key", "score", "held_out", "predicted", "lang_pred", "fp", "fingerprint", "component_id", "size", "shard", "slot", "law", "ids", "decoded", "digest", "canon", "label", "sequence_id", "offset", "length", "piece", "start", "_row", "_bucket", "_number", "word", "edges", "_text", "host", "at", "_id", "domain", "action"]
+CLASHES = ["id", "key", "score", "held_out", "predicted", "lang_pred", "fp", "fingerprint", "component_id", "size", "shard", "slot", "law", "ids", "decoded", "digest", "canon", "label", "sequence_id", "offset", "length", "piece", "start", "_row", "_bucket", "_number", "word", "edges", "_text", "host", "at", "_id", "domain", "action", "_class", "_language", "_nearness", "_quality", "_read_text", "_scored_text", "row", "none", "first", "own", "lines", "line", "last", "gone", "mask", "part", "n"]
 
 
 def prose(rng, words, n):

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import fingerprints, langid, packing, quality, sentencepieces, sharding, simhash, topk, toxicity, urlfilter
+from tessera.llm import fingerprints, langid, nearcopies, packing, quality, sentencepieces, sharding, simhash, topk, toxicity, urlfilter
 
 from .conftest import rows_of
 
@@ -68,6 +68,16 @@ def test_stages_keep_columns(corpus, clashing, spark):
         assert {r[0] for r in stage(more).select("doc_id").collect()} == {r[0] for r in stage(docs).select("doc_id").collect()}
 
 
+def test_one_row_of_each_group(spark, corpus):
+    """One id with two texts, copies without an id, repeated rows."""
+    docs, texts = corpus[0], [r["text"] for r in corpus[0].filter("doc_id IN (1, 2, 4)").orderBy("doc_id").collect()]
+    rows = [(7, texts[0]), (7, texts[1]), (None, texts[2]), (None, texts[2]), (3, texts[0]), (5, texts[1]), (5, texts[1]), (None, texts[1]), (None, None), (9, "")]
+    table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], docs.schema)
+    for named in (simhash.near_duplicates, nearcopies.near_copies):
+        kept = simhash.keep_one_each(table, named=named).collect()
+        assert sorted(((r["doc_id"] or -1), r["text"]) for r in kept) == sorted([(3, texts[0]), (5, texts[1]), (-1, texts[2]), (9, "")])
+
+
 def test_learning_from_nothing(corpus, spark):
     docs, labels = corpus
     none = labels.limit(0)

@@ -1,9 +1,11 @@
 import itertools
 
 import corpus_pipeline
-from tessera.llm import langid, quality, simhash
+from tessera.llm import langid, quality
 
-from .test_operators import groups, plain_simhash
+from .conftest import DOCS
+from .test_nearcopies import plain_shingles, similarity
+from .test_operators import groups
 
 
 def test_pipeline(spark, corpus, tmp_path):
@@ -25,11 +27,27 @@ def test_pipeline(spark, corpus, tmp_path):
             good = {r["doc_id"]: r["quality"] for r in labels.dropna().collect()}
             assert all(bool(good.get(i, 1)) for i in after) and all(i in after for i in before if good.get(i) == 1)
         else:
-            prints = {i: plain_simhash(r["text"]) for i, r in before.items()}
-            near = [(a, b) for a, b in itertools.combinations(sorted(prints), 2) if (prints[a] ^ prints[b]).bit_count() <= simhash.BUDGET]
-            assert set(after) == set(groups(prints, near).values())
+            sets = {i: plain_shingles(r["text"]) for i, r in before.items()}
+            near = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if similarity(sets[a], sets[b]) >= 0.8]
+            assert set(after) == set(groups(sets, near).values())
         out.write.parquet(str(tmp_path / name))
         now = spark.read.parquet(str(tmp_path / name))
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in now.collect()}
     assert quality.LEAST_SCORE == 0.3
+
+
+def test_edges(spark, corpus, clashing, tmp_path):
+    """The whole pipeline over an empty table, over null ids and texts only, and with columns of the names that stages use."""
+    docs, labels = corpus
+
+    def run(name, table):
+        (tmp_path / name).mkdir()
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+        return sorted((r["doc_id"] or -1, r["piece"], r["length"]) for r in corpus_pipeline.run(spark, str(tmp_path / name)).collect())
+
+    assert run("empty", docs.limit(0)) == []
+    null = spark.createDataFrame([(None, None, None, None, None)] * 3, DOCS)
+    assert run("null", null) == [(-1, 0, 1)]  # one of three empty documents: its end mark
+    assert run("clashing", clashing(docs)) == run("plain", docs) != []
