@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .template import Template
+
 #: White space that str.strip() takes off, fixed values; a character class that Java's and RE2's patterns read alike.
 WHITE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 STRIP = rf"\A{WHITE}+|{WHITE}+\z"
@@ -34,9 +36,13 @@ def question(text: Column) -> Column:
     return strip(text)
 
 
+#: Words that end a session, fixed values.
+EXIT_WORDS = ("exit", "quit")
+
+
 def is_exit(text: Column) -> Column:
     """Whether a stripped question is one of the words that end a session."""
-    return F.lower(text).isin("exit", "quit")
+    return F.lower(text).isin(*EXIT_WORDS)
 
 
 def chunk_id(source_file: Column, page: Column, index: Column, text: Column) -> Column:
@@ -45,6 +51,11 @@ def chunk_id(source_file: Column, page: Column, index: Column, text: Column) ->
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
+def content_key(model: str, text: Column) -> Column:
+    """SHA-256 hex of a model's name and a text: what a vector depends on."""
+    return F.sha2(F.concat(F.lit(model), F.lit("\x00"), F.coalesce(text, F.lit(""))), 256)
+
+
 def label(source_file: Column, page: Column, text: Column) -> Column:
     """A chunk under the name of its source, for attribution."""
     return F.concat(F.lit("["), F.coalesce(source_file, F.lit("unknown")), F.lit(", page "), F.coalesce(page.cast("string"), F.lit("?")), F.lit("]\n"), text)
@@ -57,11 +68,19 @@ PROMPT_HEAD = (
     "Name the document that each fact comes from.\n\nContext:\n"
 )
 PROMPT_QUESTION, PROMPT_END = "\n\nQuestion:\n", "\n\nAnswer:"
+#: The default of the setting PROMPT_TEMPLATE.
+PROMPT = f"{PROMPT_HEAD}{{context}}{PROMPT_QUESTION}{{question}}{PROMPT_END}"
+
+
+def prompt(context: Column, question: Column, template: str = PROMPT) -> Column:
+    """The prompt; what context and question hold stays as it is, whatever it looks like. A template needn't have both slots."""
+    parsed = Template(template)
+    return parsed.column(**{k: v for k, v in {"context": context, "question": question}.items() if k in parsed.slots})
 
 
-def prompt(context: Column, question: Column) -> Column:
-    """The prompt; what context and question hold stays as it is, whatever it looks like."""
-    return F.concat(F.lit(PROMPT_HEAD), context, F.lit(PROMPT_QUESTION), question, F.lit(PROMPT_END))
+def meta(metadata: Column, key: str, default: str) -> Column:
+    """A field of a page's metadata (a variant) as text; `default` where it is missing or null."""
+    return F.coalesce(F.try_variant_get(metadata, F.lit(f"$.{key}") if key.isidentifier() else F.lit(f'$["{key}"]'), "string"), F.lit(default))
 
 
 def hashed_bucket(word: Column, dim: int) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +18,8 @@ def contexts(ranked: DataFrame, questions: DataFrame, qid_col: str = "qid", file
     return out.withColumn("context", F.coalesce("context", F.lit("")))
 
 
-def prompts(with_context: DataFrame, question_col: str = "question") -> DataFrame:
-    return with_context.withColumn("prompt", T.prompt(F.col("context"), F.col(question_col)))
+def prompts(with_context: DataFrame, question_col: str = "question", template: str = T.PROMPT) -> DataFrame:
+    return with_context.withColumn("prompt", T.prompt(F.col("context"), F.col(question_col), template))
 
 
 def cleaned(answers: DataFrame, answer_col: str = "answer") -> DataFrame:
@@ -35,6 +37,16 @@ def asked_questions(lines: DataFrame, session: str, order: str, text_col: str =
     return out.filter((F.col("question") != "") & (F.col("_stop").isNull() | (F.col(order) < F.col("_stop")))).select(session, order, "question")
 
 
+def until_exit(lines: Iterable[str]) -> Iterator[str]:
+    """asked_questions() of one session whose lines come one by one."""
+    for line in lines:
+        asked = line.strip()
+        if asked.lower() in T.EXIT_WORDS:
+            return
+        if asked:
+            yield asked
+
+
 def missing_models(needed: DataFrame, installed: DataFrame) -> DataFrame:
     """Needed models (model, priority) that no installed name equals or tags (`model:tag`)."""
     return needed.join(installed.distinct(), (F.col("name") == F.col("model")) | F.startswith(F.col("name"), F.concat(F.col("model"), F.lit(":"))), "left_anti")

@@ -6,11 +6,11 @@ from collections import deque
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from ..functions.ranking import running
+from ..functions.ranking import WIDTH, running
 
 #: Tried in this order, fixed values: blank line, line end, blank, every character.
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -84,6 +84,42 @@ def chunk_pages(pages: DataFrame, size: int = 1200, overlap: int = 200, text_col
     return rows.mapInArrow(run, f"{schema}, pos int, chunk string")
 
 
+def split_pages(pages: DataFrame, size: int = 1200, overlap: int = 200, text_col: str = "page_content") -> DataFrame:
+    """A row per page: its other columns, chunks (an array, empty for a blank page) and n_chunks."""
+    keep = [c for c in pages.columns if c != text_col]
+    rows = pages.select(F.col(text_col).cast("string").alias("_split_text"), *keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [list(split_text(t.as_py(), size, overlap)) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.list_(pa.string())), pa.array(map(len, found), pa.int32())], [*keep, "chunks", "n_chunks"])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[1:])
+    return rows.mapInArrow(run, f"{schema}, chunks array<string>, n_chunks int")
+
+
+def numbered(split: DataFrame, file_col: str = "source_file", page_col: str = "page") -> DataFrame:
+    """A row per chunk of split_pages()'s rows: the page's columns, pos, chunk, chunk_index (from 0 over all pages of a file, in page order).
+
+    Pages are shuffled once, by file and range of WIDTH page numbers, and that one exchange serves both the sums of the ranges and the pages
+    themselves, so nothing above it is computed twice. No file is ever whole in one task. Page numbers do not repeat within a file; a null
+    file is a file like any other.
+    """
+    file = F.coalesce(F.concat(F.lit("="), F.col(file_col)), F.lit(""))
+    rows = split.drop("n_chunks").withColumn("_file", file).withColumn("_range", F.coalesce(F.floor(F.col(page_col) / WIDTH), F.lit(0))).repartition("_file", "_range")
+    n = F.size("chunks")
+    # the sums read every column that the pages need, or Spark would prune theirs and shuffle anew
+    others = [c for c in split.columns if c not in ("chunks", "n_chunks")]
+    sums = rows.groupBy("_file", "_range").agg(F.sum(n).alias("_sum"), F.max(F.hash(*others)).alias("_read"))
+    earlier = Window.partitionBy("_file").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(F.col("_file").alias("_of"), F.col("_range").alias("_at"), "_read", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_file", "_range").orderBy(page_col).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_inside", F.coalesce(F.sum(n).over(inside), F.lit(0)))
+    out = placed.join(starts, (placed["_file"] == starts["_of"]) & (placed["_range"] == starts["_at"]) & starts["_read"].isNotNull())
+    out = out.select(*others, F.posexplode("chunks").alias("pos", "chunk"), (F.col("_start") + F.col("_inside")).alias("_before"))
+    return out.withColumn("chunk_index", (F.col("_before") + F.col("pos")).cast("int")).drop("_before")
+
+
 def indexed(chunks: DataFrame, file_col: str = "source_file", page_col: str = "page") -> DataFrame:
     """chunks with chunk_index, counted from 0 over all pages of a file in page order: what earlier pages have, plus pos."""
     pages = chunks.groupBy(file_col, page_col).agg(F.count("*").alias("_n"))

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.template import Template
+from ..functions.text import PROMPT
 from ..settings import Settings
 
 
@@ -58,15 +60,19 @@ class HttpEmbedder:
 
 
 class FirstLineGenerator:
-    """An extractive stand-in: it thinks aloud and then gives the first line of the first chunk in the prompt's context."""
+    """An extractive stand-in: it thinks aloud and then gives the first line of the first chunk in the context of a prompt that `template` made."""
 
-    def generate(self, prompts: list[str]) -> list[str]:
-        return [f"<think>\n{len(p)} characters to read\n</think>\n{first_line(p)}\n" for p in prompts]
+    def __init__(self, template: str = PROMPT):
+        self.around = Template(template).between("context")
 
+    def generate(self, prompts: list[str]) -> list[str]:
+        return [f"<think>\n{len(p)} characters to read\n</think>\n{self.first_line(p)}\n" for p in prompts]
 
-def first_line(prompt: str) -> str:
-    context = prompt.partition("\nContext:\n")[2].partition("\n\nQuestion:\n")[0]
-    return context.partition("]\n")[2].partition("\n")[0] if context else "The context does not hold the answer."
+    def first_line(self, prompt: str) -> str:
+        before, after = self.around
+        context = prompt.partition(before)[2] if before else prompt
+        context = context.partition(after)[0] if after else context
+        return context.partition("]\n")[2].partition("\n")[0] if context else "The context does not hold the answer."
 
 
 class HttpGenerator:

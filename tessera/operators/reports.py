@@ -14,6 +14,11 @@ def ingest_report(pages: DataFrame, chunks: DataFrame) -> DataFrame:
     return out.select("source_file", "pages", F.coalesce("_chunks", F.lit(0)).cast("long").alias("chunks"))
 
 
+def split_report(split: DataFrame) -> DataFrame:
+    """ingest_report() from pages that are split already (source_file, n_chunks): one aggregation of two narrow columns."""
+    return split.groupBy("source_file").agg(F.count("*").alias("pages"), F.coalesce(F.sum("n_chunks"), F.lit(0)).cast("long").alias("chunks"))
+
+
 def ingest_total(report: DataFrame) -> DataFrame:
     """One row: files, pages, chunks."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)

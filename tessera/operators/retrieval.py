@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_distance
-
-#: Bytes of question vectors that one pass over the store takes along, as a broadcast; only more questions than fit there are asked in further passes.
-BLOCK_BYTES = 64 << 20
-#: Questions that a batch of rows is multiplied with at once.
-SLICE = 256
+from .blocks import ASKED, asked_blocks, met, packed, ranked, simple
 
 
 def top_single(store: DataFrame, question: list[float], k: int, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
@@ -25,64 +16,26 @@ def top_single(store: DataFrame, question: list[float], k: int, id_col: str = "i
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.asc_nulls_last("distance"), id_col)))  # k rows
 
 
-def top_batch(store: DataFrame, questions: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding", qid_col: str = "qid", question_col: str = "vector", block: int | None = None) -> DataFrame:
+def top_batch(store: DataFrame, questions: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding", qid_col: str = "qid", question_col: str = "vector", block: int = ASKED) -> DataFrame:
     """For each question its k nearest rows: qid, id, distance, rank (from 1), by the rules of top_single().
 
-    Each task multiplies its rows with a block of questions and keeps k a question, so at most k rows of a question and task are
-    shuffled to be ranked. A block is `block` questions, by default what BLOCK_BYTES hold; a table of questions of any length is asked in
-    as many passes as it has blocks.
+    Stored vectors and questions are packed into blocks where they are (`block` questions each), and every block of rows meets every block
+    of questions in one product: one scan of the store for any number of questions. Spark sends the questions to every task where their
+    table is small by its size (spark.sql.autoBroadcastJoinThreshold) and else pairs partitions with partitions. At most k rows of a
+    question and task are shuffled to be ranked. Nothing runs while the plan is built.
     """
-    out = None
-    held: list[tuple] = []
-    for r in questions.select(qid_col, question_col).toLocalIterator():
-        held.append((r[0], r[1]))
-        if len(held) >= (block or max(1, BLOCK_BYTES // (8 * max(1, len(r[1] or ()))))):
-            out, held = _union(out, _best(store, held, k, id_col, vector_col, qid_col, questions)), []
-    if held or out is None:
-        out = _union(out, _best(store, held, k, id_col, vector_col, qid_col, questions))
-    order = Window.partitionBy(qid_col).orderBy(F.asc_nulls_last("distance"), id_col)
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
+    pairs = packed(store, id_col, vector_col).crossJoin(asked_blocks(packed(questions, qid_col, question_col, block)))
+    return ranked(met(pairs, k, qid_col, id_col, simple(questions, qid_col), simple(store, id_col)), k, qid_col, id_col)
 
-def _union(a: DataFrame | None, b: DataFrame) -> DataFrame:
-    return b if a is None else a.unionByName(b)
 
+def top_by_key(store: DataFrame, questions: DataFrame, k: int, key_col: str = "collection", id_col: str = "id", vector_col: str = "embedding", qid_col: str = "qid", question_col: str = "vector", block: int = ASKED) -> DataFrame:
+    """top_batch() where each question is asked of its own collection (key_col of both tables), over any number of collections.
 
-def _best(store: DataFrame, held: list[tuple], k: int, id_col: str, vector_col: str, qid_col: str, questions: DataFrame) -> DataFrame:
-    size = len(held[0][1]) if held else 0
-    if any(len(v) != size for _, v in held):
-        raise ValueError("vectors of different lengths")
-    vectors_asked = np.array([v for _, v in held], float).reshape(len(held), size)
-    shared = store.sparkSession.sparkContext.broadcast((vectors_asked, np.sqrt((vectors_asked * vectors_asked).sum(axis=1)), pa.array([q for q, _ in held])))
-    n_asked = len(held)
-    rows = store.select(id_col, vector_col)
-    schema = f"`{qid_col}` {questions.schema[qid_col].dataType.simpleString()}, `{id_col}` {store.schema[id_col].dataType.simpleString()}, distance double"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, lengths, qids = shared.value
-        for batch in batches if n_asked else ():
-            vectors = batch.column(1)
-            if (got := set(pc.unique(pc.list_value_length(vectors)).to_pylist()) - {None, size}):
-                raise ValueError(f"vectors of different lengths: {size} and {sorted(got)}")
-            there = np.asarray(vectors.is_valid())
-            values = np.zeros((len(batch), size))
-            values[there] = np.asarray(vectors.flatten().fill_null(np.nan), float).reshape(-1, size)
-            norms = np.where(there, np.sqrt((values * values).sum(axis=1)), 0.0)
-            # rows in the order of their ids, so that a place stands for an id where distances tie
-            order = np.asarray(pc.sort_indices(batch.column(0)))
-            values, norms, n = values[order], norms[order], min(k, len(batch))
-            for low in range(0, n_asked, SLICE):
-                part = slice(low, low + SLICE)
-                with np.errstate(all="ignore"):
-                    d = 1.0 - (values @ asked[part].T) / np.outer(norms, lengths[part])
-                d[~np.isfinite(d)] = np.inf
-                at, q = np.nonzero(d <= np.partition(d, n - 1, axis=0)[n - 1])
-                best = np.lexsort((at, d[at, q], q))
-                at, q = at[best], q[best]
-                first = np.searchsorted(q, q)  # where the question's rows begin
-                near = np.arange(len(q)) - first < n
-                at, q = at[near], q[near]
-                found = d[at, q]
-                yield pa.RecordBatch.from_arrays([qids.take(pa.array(q + low)), batch.column(0).take(pa.array(order[at])), pa.array(found, mask=np.isinf(found))], [qid_col, id_col, "distance"])
-
-    return rows.mapInArrow(run, schema)
+    Only rows of collections that are asked take part; in a store partitioned by key_col only those are read. Blocks meet by their key, so
+    a collection of any size is many rows of the join, which splits where it is skewed. Null keys match nothing.
+    """
+    asked = questions.select(key_col).distinct()
+    rows = store.join(asked, key_col, "left_semi").sortWithinPartitions(key_col)
+    own = packed(questions.filter(F.col(key_col).isNotNull()).sortWithinPartitions(key_col), qid_col, question_col, block, key_col)
+    pairs = packed(rows, id_col, vector_col, key_col=key_col).join(asked_blocks(own), "key")
+    return ranked(met(pairs, k, qid_col, id_col, simple(questions, qid_col), simple(store, id_col)), k, qid_col, id_col)

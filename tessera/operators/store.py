@@ -1,24 +1,21 @@
-"""A store of embedded chunks: per collection a series of Parquet snapshots, of which the last complete one counts."""
+"""A store of embedded chunks: per collection a table in hash buckets of the ids, and the vectors of texts by their content."""
 
 from __future__ import annotations
 
+import itertools
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "id string, document string, source_file string, page int, chunk_index int, model string, embedding array<float>"
+from ..functions.text import content_key
+from .buckets import BucketTable, Conflict, last_of, merged
 
+__all__ = ["ChunkStore", "Conflict", "VectorCache", "batches", "last_of", "merged", "without_collection"]
 
-def merged(existing: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
-    """incoming in place of existing rows of the same key, all other rows as they are. Of incoming rows of one key one stays (the greatest)."""
-    return existing.join(incoming.select(key), key, "left_anti").unionByName(last_of(incoming, key))
-
-
-def last_of(rows: DataFrame, key: str = "id") -> DataFrame:
-    """One row per key: the greatest by the other columns, so that repeated keys have a defined result. Taken in each task before the shuffle."""
-    others = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.max(F.struct(*others)).alias("_row")).select(key, *(F.col(f"_row.`{c}`") for c in others)).select(*rows.columns)
+SCHEMA = "id string, document string, source_file string, page int, chunk_index int, model string, embedding array<float>, metadata variant"
 
 
 def without_collection(rows: DataFrame, collection, column: str = "collection") -> DataFrame:
@@ -26,77 +23,78 @@ def without_collection(rows: DataFrame, collection, column: str = "collection")
     return rows.filter(~F.col(column).eqNullSafe(F.lit(collection)))
 
 
-class Conflict(RuntimeError):
-    """Another writer brought out a snapshot while this one was being made."""
-
-
-class ChunkStore:
-    """Upserts write a new snapshot and never the one that is read, so a failure leaves the store as it was; the commit marker that
-    Spark writes last is what makes a snapshot count. Ids are unique within a collection. `keep` older snapshots stay for readers."""
+class ChunkStore(BucketTable):
+    """The chunks of one collection, unique by id. A failure leaves the store as it was; see BucketTable for versions and writers."""
 
-    def __init__(self, spark: SparkSession, path: str, collection: str, keep: int = 1):
-        self.spark, self.keep = spark, keep
-        self.at = f"{path.rstrip('/')}/collection={collection}"
-        jvm = spark._jvm
-        self.path = jvm.org.apache.hadoop.fs.Path
-        self.fs = self.path(self.at).getFileSystem(spark._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, path: str, collection: str, keep: int = 1, buckets: int = 64):
+        super().__init__(spark, f"{path.rstrip('/')}/collection={collection}", SCHEMA, "id", buckets, keep)
 
     def snapshots(self) -> list[int]:
-        """Numbers of the complete snapshots, ascending."""
-        if not self.fs.exists(self.path(self.at)):
-            return []
-        names = [s.getPath().getName() for s in self.fs.listStatus(self.path(self.at))]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and self.fs.exists(self.path(f"{self.at}/{n}/_SUCCESS")))
-
-    def read(self) -> DataFrame:
-        """The collection's rows; none before the first write."""
-        return self._rows(self.snapshots())
-
-    def _rows(self, have: list[int]) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.at}/v={have[-1]}") if have else self.spark.createDataFrame([], SCHEMA)
-
-    def staged(self, rows: DataFrame, name: str) -> DataFrame:
-        """rows written beside the store and read again, so that what made them (parsing, splitting, embedding) runs once. See discard()."""
-        at = f"{self.at}/stage-{name}"
-        rows.write.parquet(at)
-        return self.spark.read.schema(rows.schema).parquet(at)
-
-    def discard(self, name: str) -> None:
-        self.fs.delete(self.path(f"{self.at}/stage-{name}"), True)
+        return self.versions()
 
     def _write(self, make) -> None:
-        """A new snapshot of make(rows of the last one). It is written aside and then takes its number, unless another writer has taken that."""
-        have = self.snapshots()
-        rows, aside = make(self._rows(have)), f"{self.at}/stage-{uuid.uuid4().hex}"
-        rows.select(*[c.split()[0] for c in SCHEMA.split(", ")]).write.parquet(aside)
-        number = self.path(f"{self.at}/v={(have[-1] if have else 0) + 1}")
-        if self.snapshots() != have or not self.fs.rename(self.path(aside), number) or self.fs.exists(self.path(f"{number}/{aside.rsplit('/', 1)[1]}")):
-            self.fs.delete(self.path(aside), True)
-            raise Conflict(f"{self.at} was written to by another writer; run the upsert again")
-        for old in have[: len(have) - self.keep] if self.keep else have:
-            self.fs.delete(self.path(f"{self.at}/v={old}"), True)
-
-    def upsert(self, incoming: DataFrame) -> None:
-        """incoming is read twice: stage it where it is dear."""
-        self._write(lambda rows: merged(rows, incoming))
-
-    def reset_to(self, rows: DataFrame) -> None:
-        """The collection with these rows and no others."""
-        self._write(lambda _: last_of(rows))
+        self.write(make)
+
+    @contextmanager
+    def staging(self) -> Iterator[Callable[[DataFrame], DataFrame]]:
+        """Gives a function that writes rows beside the store and reads them again, so that what made them (parsing, splitting, embedding) runs
+        once. What was staged goes when the block ends, also by an error."""
+        folder = f"stage-{uuid.uuid4().hex}"
+        names = (f"{self.at}/{folder}/{k}" for k in itertools.count())
+
+        def stage(rows: DataFrame) -> DataFrame:
+            at = next(names)
+            rows.write.parquet(at)
+            return self.spark.read.schema(rows.schema).parquet(at)
+
+        try:
+            yield stage
+        finally:
+            self._delete(folder)
+
+    def report(self, rows: DataFrame, run: str, last: int = 8) -> DataFrame:
+        """rows kept as the report of a run; the `last` runs' reports stay."""
+        number = max([0, *(int(n.split("-")[0]) for n in self._names("reports"))]) + 1
+        at = f"reports/{number:010}-{run}"
+        rows.write.parquet(f"{self.at}/{at}")
+        for old in sorted(self._names("reports"))[:-last]:
+            self._delete(f"reports/{old}")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.at}/{at}")
 
     def unknown(self, rows: DataFrame, model: str) -> DataFrame:
-        """Rows whose id the store doesn't hold with an embedding of this model: what an ingest has yet to embed."""
-        return rows.join(self.read().filter(F.col("model") == model).select("id"), "id", "left_anti")
+        """Rows whose id the store doesn't hold with an embedding of this model: what an ingest has yet to embed. Only their buckets are read."""
+        base = self.manifest()
+        held = self._rows(base, self.touched(rows, base)).filter(F.col("model") == model)
+        return rows.join(held.select("id"), "id", "left_anti")
 
     def remove_stale(self, rows: DataFrame) -> None:
         """Drops stored chunks of the source files in `rows` that aren't among `rows` (left by edited files); an option, not done on upsert."""
         files = rows.select("source_file").distinct()
-        self._write(lambda held: held.join(files, "source_file", "left_anti").unionByName(held.join(rows.select("id"), "id", "left_semi")).dropDuplicates(["id"]))
+        stale = self.read().select("id", "source_file").join(files, "source_file", "left_semi").join(rows.select("id"), "id", "left_anti")
+        self.delete(stale.select("id"))
+
+
+class VectorCache(BucketTable):
+    """Embeddings by content: the key is the hash of model and text, so a text that moved within its file, or occurs in another one, keeps its vector."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        super().__init__(spark, f"{path.rstrip('/')}/vectors", "content string, model string, embedding array<float>", "content", buckets, 1)
+
+    def missing(self, rows: DataFrame, model: str, text_col: str = "document") -> DataFrame:
+        """(content, model, text) once for each text of rows that has no vector of this model yet."""
+        texts = rows.select(content_key(model, F.col(text_col)).alias("content"), F.lit(model).alias("model"), F.col(text_col).alias("text"))
+        texts = texts.groupBy("content", "model").agg(F.any_value("text").alias("text"))  # equal within a group
+        base = self.manifest()
+        return texts.join(self._rows(base, self.touched(texts, base)).select("content"), "content", "left_anti")
+
+    def joined(self, rows: DataFrame, model: str, text_col: str = "document") -> DataFrame:
+        """rows with the column embedding; all their texts have to be in."""
+        keyed = rows.withColumn("content", content_key(model, F.col(text_col)))
+        base = self.manifest()
+        return keyed.join(self._rows(base, self.touched(keyed, base)).select("content", "embedding"), "content").drop("content")
 
 
 def batches(chunks: DataFrame, size: int = 64) -> DataFrame:
     """Per file and batch of `size` neighbouring chunks: first and last index and how many there are."""
     rows = chunks.withColumn("batch", F.floor(F.col("chunk_index") / size).cast("int"))
     return rows.groupBy("source_file", "batch").agg(F.min("chunk_index").alias("first_index"), F.max("chunk_index").alias("last_index"), F.count("*").alias("n_chunks"))
-
-

@@ -11,11 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vectors import cosine_distance, norm
-from ..operators import answering, retrieval, store
-from ..operators.chunking import chunk_pages, indexed
-from ..operators.models import FirstLineGenerator, with_answers
+from ..functions.template import Template
+from ..operators import answering, blocks, retrieval, store
+from ..operators.buckets import BucketTable
+from ..operators.chunking import chunk_pages, numbered, split_pages
+from ..operators.models import FirstLineGenerator, HashingEmbedder, with_answers, with_embeddings
+from ..operators.pivots import PivotIndex
 from ..operators.reports import ingest_report, ingest_total
+from ..functions.ranking import positions
+from ..operators.stages import expression, lifted, passed, record
+from ..sources.scratch import scratch
 from ..sources.tables import pages_of, table
 
 SIZE, OVERLAP, BATCH, K, DIM = 1200, 200, 64, 5, 64
@@ -26,7 +31,7 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return indexed(chunk_pages(_pages(spark, d), SIZE, OVERLAP))
+    return numbered(split_pages(_pages(spark, d), SIZE, OVERLAP))
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
@@ -117,11 +122,11 @@ def store_reset(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Every question's distance to every stored vector: the questions are the stated, bounded side."""
-    rows = _stored(spark, d).withColumn("n", norm(F.col("embedding")))
-    asked = _questions(spark, d).select("qid", "vector", norm(F.col("vector")).alias("m"))
-    distance = cosine_distance(F.col("embedding"), F.col("vector"), F.col("n"), F.col("m"))
-    return rows.crossJoin(asked).select("qid", "id", (F.round(distance, 6) + 0.0).alias("distance"))
+    """Every question's distance to every stored vector, by blocks; the questions are the stated, smaller side."""
+    rows = _stored(spark, d)
+    pairs = blocks.packed(rows, "id", "embedding").crossJoin(blocks.asked_blocks(blocks.packed(_questions(spark, d), "qid", "vector", blocks.ASKED)))
+    found = blocks.met(pairs, blocks.ROWS, "qid", "id", "bigint", "bigint")
+    return found.select("qid", "id", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
 def _rounded(rows: DataFrame) -> DataFrame:
@@ -147,15 +152,92 @@ def topk_collection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def topk_short(spark: SparkSession, d: str) -> DataFrame:
-    """More neighbours asked for than collection 0 has, and a collection without rows: every question stays."""
-    rows, asked = _stored(spark, d), _questions(spark, d)
-    all_ = rows.filter("collection = 0").count()
-    found = retrieval.top_batch(rows.filter("collection = 0"), asked, all_ + 1).select("qid", "rank", "id")
+    """Five neighbours asked for in collections of three neighbouring vectors: question n in the n-th; and in a collection without rows. Every question stays."""
+    rows, asked = _stored(spark, d).withColumn("collection", F.floor(F.col("id") / 3)), _questions(spark, d).withColumn("collection", F.col("qid"))
+    found = retrieval.top_by_key(rows, asked, K).select("qid", "rank", "id")
     none = retrieval.top_batch(rows.filter("collection = -1"), asked, K).select("qid", "rank", "id")
     tagged = [asked.select("qid").join(x, "qid", "left").withColumn("collection", F.lit(c)) for x, c in ((found, 0), (none, -1))]
     return tagged[0].unionByName(tagged[1])
 
 
+def topk_by_collection(spark: SparkSession, d: str) -> DataFrame:
+    """Each question in a collection of its own choice: that of its number's last digit."""
+    asked = _questions(spark, d).withColumn("collection", (F.col("qid") % 10).cast("int"))
+    return _rounded(retrieval.top_by_key(_stored(spark, d), asked, K))
+
+
+def topk_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """topk_batch through a pivot index, which passes over what can't be near."""
+    index = PivotIndex(spark, scratch(spark, "pivots")).build(_stored(spark, d))
+    return _rounded(index.search(_questions(spark, d), K)[0])
+
+
+def upsert_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """The buckets that an upsert rewrote: all documents are stored in 256 buckets; edits of the labelled toxic ones come in."""
+    docs = table(spark, d, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("id"), F.col("text").alias("document"), "doc_id")
+    edits = docs.join(table(spark, d, "labels").filter("toxic = 1").select("doc_id").distinct(), "doc_id").select("id", F.concat(F.lit("edited: "), "document").alias("document"))
+    held = BucketTable(spark, scratch(spark, "upsert"), "id string, document string", buckets=256)
+    old, new = held.upsert(docs.drop("doc_id")), held.upsert(edits)
+    return held.changes(old, new).select("bucket", "rows", "replaced")
+
+
+def embed_reuse(spark: SparkSession, d: str) -> DataFrame:
+    """Per source: texts, and how many of them had to be embedded for a store whose cache has all English texts. A text that occurs often is embedded once."""
+    cache = store.VectorCache(spark, scratch(spark, "reuse"), 16)
+    docs, embedder = table(spark, d, "documents").select("source", "lang", F.col("text").alias("document")), HashingEmbedder(8)
+
+    def fill(rows: DataFrame) -> None:
+        cache.upsert(with_embeddings(cache.missing(rows, embedder.name), embedder, "text").drop("text"))
+
+    fill(docs.filter("lang = 'en'"))
+    known = cache.read().select("content")
+    fill(docs)
+    keyed = docs.withColumn("content", T.content_key(embedder.name, F.col("document")))
+    new = cache.read().select("content").join(known, "content", "left_anti").withColumn("new", F.lit(True))
+    return keyed.join(new, "content", "left").groupBy("source").agg(F.count("*").alias("texts"), F.count_distinct(F.when(F.col("new"), F.col("content"))).alias("embedded"))
+
+
+def chunk_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks with their page's metadata as a variant: a field of the table, one that only some pages have, one that none has, and the label made of them."""
+    some = F.struct("source", "lang", F.when(F.col("n_chars") > 1000, F.col("n_chars")).alias("size"), F.struct(F.col("doc_id").alias("id")).alias("own"))
+    docs = table(spark, d, "documents").withColumn("metadata", F.to_json(some))
+    pages = _pages(spark, d).join(docs.select("doc_id", "metadata", F.col("source").alias("source_file"), F.col("text").alias("page_content")).transform(_paged), ["source_file", "page"])
+    chunks = numbered(split_pages(pages, SIZE, OVERLAP)).withColumn("metadata", F.parse_json("metadata"))
+    m = F.col("metadata")
+    return chunks.select(
+        "source_file", "chunk_index", T.meta(m, "lang", "?").alias("lang"), T.meta(m, "size", "small").alias("size"), T.meta(m, "producer", "unknown").alias("producer"),
+        F.try_variant_get(m, "$.own.id", "bigint").alias("doc_id"), T.label(T.meta(m, "source", "unknown"), T.meta(m, "size", "?"), F.col("chunk")).alias("block"),
+    )
+
+
+def _paged(docs: DataFrame) -> DataFrame:
+    return positions(docs, "source_file", "doc_id", "page").select("source_file", F.col("page").cast("int").alias("page"), "metadata")
+
+
+def prompt_template(spark: SparkSession, d: str) -> DataFrame:
+    """A template with braces, a slot that comes twice, and characters that other engines take for their own, over turns that hold the like."""
+    turns = table(spark, d, "conversations")
+    said = F.concat("text", F.lit(" {question} {{x}} $1 \\2 %s"))
+    return turns.select("conv_id", "turn", FORM.column(question=said, context=F.when(F.col("role") != "system", F.col("role"))).alias("prompt"))
+
+
+#: The template of prompt_template.
+FORM = Template("{{literal}} $1 \\1 {context}|{question}\n{{{context}}} %d")
+
+
+def reversed_words(text: str) -> str:
+    """A user's function: the words of a text from the last to the first."""
+    return " ".join(reversed(text.split(" ")))
+
+
+def chain_compose(spark: SparkSession, d: str) -> DataFrame:
+    """A chain with a user's function in it: two branches over a question, a template, expressions around."""
+    turned = passed() | reversed_words
+    chain = record(context=turned | expression(lambda c: F.replace(c, F.lit(" "), F.lit("_"))), question=passed(), size=lifted(len, "long")) | Template("{size}: {question} / {context}") | expression(T.strip)
+    rows = table(spark, d, "benchmark").select("item_id", "text")
+    return chain.over(rows, "text", "answer").select("item_id", "answer")
+
+
 def context_build(spark: SparkSession, d: str) -> DataFrame:
     return answering.contexts(_ranked(spark, d), _questions(spark, d).select("qid", "question")).select("qid", "context")
 
@@ -217,6 +299,7 @@ QUERIES = {
     for f in (
         src_list, page_scan, chunk_full, chunk_small, chunk_lines, chunk_stats, chunk_index, chunk_id, chunk_id_missing_meta, batch_assign, ingest_report_, ingest_total_, upsert_merge, store_reset, cosine_pairs, topk_single,
         topk_batch, topk_collection, topk_short, context_build, context_defaults, prompt, strip_think, question_norm, question_filter, model_missing, embed_hash, answer_stub,
+        topk_by_collection, topk_pruned, upsert_buckets, embed_reuse, chunk_metadata, prompt_template, chain_compose,
     )
 }
 
@@ -317,7 +400,18 @@ ORACLE_SQL = {
     "topk_single": f"WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT e AS qe FROM v ORDER BY id LIMIT 1), d AS (SELECT id, list_cosine_distance(e, qe) AS distance FROM v, q) SELECT CAST(row_number() OVER (ORDER BY greatest(distance, 0), id) AS INTEGER) AS rank, id, greatest(round(distance, 6), 0.0) + 0.0 AS distance FROM d ORDER BY distance, id LIMIT {K}",
     "topk_batch": f"WITH {_QUESTIONS} SELECT qid, rank, id, round(distance, 6) + 0.0 AS distance FROM ranked WHERE rank <= {K}",
     "topk_collection": f"WITH {_QUESTIONS}, own AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS INTEGER) AS place FROM pairs WHERE collection = 1) SELECT qid, place AS rank, id, round(distance, 6) + 0.0 AS distance FROM own WHERE place <= {K}",
-    "topk_short": f"WITH {_QUESTIONS}, own AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS INTEGER) AS place FROM pairs WHERE collection = 0) SELECT q.qid, o.place AS rank, o.id, 0 AS collection FROM questions q LEFT JOIN own o USING (qid) UNION ALL SELECT qid, NULL, NULL, -1 FROM questions",
+    "topk_short": f"WITH {_QUESTIONS}, own AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS INTEGER) AS place FROM pairs WHERE id // 3 = qid) SELECT q.qid, o.place AS rank, o.id, 0 AS collection FROM questions q LEFT JOIN own o USING (qid) UNION ALL SELECT qid, NULL, NULL, -1 FROM questions",
+    "topk_by_collection": f"WITH {_QUESTIONS}, own AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS INTEGER) AS place FROM pairs WHERE collection = qid % 10) SELECT qid, place AS rank, id, round(distance, 6) + 0.0 AS distance FROM own WHERE place <= {K}",
+    "topk_pruned": f"WITH {_QUESTIONS} SELECT qid, rank, id, round(distance, 6) + 0.0 AS distance FROM ranked WHERE rank <= {K}",
+    "upsert_buckets": """WITH held AS (SELECT CAST(CAST('0x' || substring(md5('doc-' || doc_id), 1, 8) AS BIGINT) % 256 AS INTEGER) AS bucket, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS edited FROM documents)
+SELECT bucket, count(*) AS rows, count(*) FILTER (WHERE edited) AS replaced FROM held GROUP BY bucket HAVING bool_or(edited)""",
+    "embed_reuse": "SELECT source, count(*) AS texts, count(DISTINCT text) FILTER (WHERE text NOT IN (SELECT text FROM documents WHERE lang = 'en')) AS embedded FROM documents GROUP BY source",
+    "chunk_metadata": f"""WITH RECURSIVE {_CHUNKS}, docs AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, CASE WHEN n_chars > 1000 THEN CAST(n_chars AS VARCHAR) END AS size FROM documents)
+SELECT source_file, chunk_index, lang, coalesce(size, 'small') AS size, 'unknown' AS producer, doc_id, '[' || source || ', page ' || coalesce(size, '?') || ']' || chr(10) || chunk AS block
+FROM indexed i JOIN docs d ON d.source = i.source_file AND d.place = i.page""",
+    "prompt_template": f"""WITH said AS (SELECT conv_id, turn, text || {_sql(" {question} {{x}} $1 " + chr(92) + "2 %s")} AS question, CASE WHEN role <> 'system' THEN role ELSE '' END AS context FROM conversations)
+SELECT conv_id, turn, {_sql("{literal} $1 " + chr(92) + "1 ")} || context || '|' || question || {_sql(chr(10) + "{")} || context || {_sql("} %d")} AS prompt FROM said""",
+    "chain_compose": f"SELECT item_id, {_strip("length(text) || ': ' || text || ' / ' || array_to_string(list_reverse(string_split(text, ' ')), '_')")} AS answer FROM benchmark",
     "context_build": f"WITH {_CONTEXTS} SELECT qid, context FROM contexts",
     "context_defaults": f"SELECT doc_id, '[' || coalesce({_MISSING[0]}, 'unknown') || ', page ' || coalesce({_MISSING[1]}, '?') || ']' || chr(10) || text AS block FROM documents",
     "prompt": f"WITH {_CONTEXTS} SELECT qid, {_sql(T.PROMPT_HEAD)} || context || {_sql(T.PROMPT_QUESTION)} || question || {_sql(T.PROMPT_END)} AS prompt FROM contexts",

@@ -1,4 +1,4 @@
-"""Ingest: pages to chunks with ids, embedded and upserted."""
+"""Ingest: pages to chunks with ids, embedded by content and upserted."""
 
 from __future__ import annotations
 
@@ -8,41 +8,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_id
-from ..operators.chunking import chunk_pages, indexed
+from ..operators.chunking import numbered, split_pages
 from ..operators.models import Embedder, with_embeddings
-from ..operators.reports import ingest_report
-from ..operators.store import ChunkStore
+from ..operators.reports import split_report
+from ..operators.store import ChunkStore, VectorCache
 from ..settings import Settings
 
 
 def identified(pages: DataFrame, settings: Settings) -> DataFrame:
-    """The chunks of pages: source_file, page, chunk_index (file-wide), id, document."""
-    return named(indexed(chunk_pages(pages, settings.chunk_size, settings.chunk_overlap)))
+    """The chunks of pages: source_file, page, chunk_index (file-wide), id, document, metadata."""
+    return named(numbered(split(pages, settings)))
+
+
+def split(pages: DataFrame, settings: Settings) -> DataFrame:
+    """Pages (source_file, page, page_content and perhaps metadata: a variant or JSON text) with their chunks; metadata travel as JSON."""
+    metadata = F.lit(None).cast("string")
+    if "metadata" in pages.columns:
+        metadata = F.to_json("metadata") if dict(pages.dtypes)["metadata"] == "variant" else F.col("metadata").cast("string")
+    return split_pages(pages.select("source_file", "page", "page_content", metadata.alias("metadata")), settings.chunk_size, settings.chunk_overlap)
 
 
 def named(chunks: DataFrame) -> DataFrame:
-    return chunks.select("source_file", "page", "chunk_index", chunk_id(F.col("source_file"), F.col("page"), F.col("chunk_index"), F.col("chunk")).alias("id"), F.col("chunk").alias("document"))
+    ids = chunk_id(F.col("source_file"), F.col("page"), F.col("chunk_index"), F.col("chunk"))
+    return chunks.select("source_file", "page", "chunk_index", ids.alias("id"), F.col("chunk").alias("document"), "metadata")
 
 
 def ingest(spark: SparkSession, pages: DataFrame, settings: Settings, embedder: Embedder, reset: bool = False, clean: bool = False) -> DataFrame:
     """Brings the pages' chunks into the settings' collection and returns the report per file.
 
-    Chunks that the store holds already, with this model's vectors, are not embedded again. Chunks of an earlier state of an edited file
-    stay unless `clean`; `reset` starts the collection anew. A failure leaves the store as it was. Pages, chunks and embedded rows are staged
-    beside the store, so every file is parsed, every page split and every new chunk embedded once; the report alone stays staged.
+    Chunks that the store holds already, with this model's vectors, are passed over; of the others each text is embedded unless this model
+    has embedded it before, under whatever id: a page put in front of a file moves the ids of all later chunks and costs one page. Chunks
+    of an earlier state of an edited file stay unless `clean`; `reset` starts the collection anew. A failure leaves the store as it was.
+    Every file is parsed and every page split once: what comes of it is staged beside the store and goes when the ingest ends. Only the
+    report stays, with those of the last few ingests.
     """
-    store, run = ChunkStore(spark, settings.store_path, settings.collection), uuid.uuid4().hex
-    kept = ("pages", "split", "chunks", "new")
-    try:
-        pages = store.staged(pages.select("source_file", "page", "page_content"), f"pages-{run}")
-        split = store.staged(chunk_pages(pages, settings.chunk_size, settings.chunk_overlap), f"split-{run}")
-        chunks = store.staged(named(indexed(split)), f"chunks-{run}")
-        new = chunks if reset else store.unknown(chunks, embedder.name)
-        rows = store.staged(with_embeddings(new, embedder, "document", settings.batch_size).withColumn("model", F.lit(embedder.name)), f"new-{run}")
-        store.reset_to(rows) if reset else store.upsert(rows)
+    store, run = ChunkStore(spark, settings.store_path, settings.collection, buckets=settings.store_buckets), uuid.uuid4().hex
+    with store.staging() as stage:
+        parts = stage(split(pages, settings))
+        chunks = stage(named(numbered(parts)))
+        bring_in(spark, chunks, settings, embedder, store, reset)
         if clean and not reset:
             store.remove_stale(chunks)
-        return store.staged(ingest_report(pages, chunks), f"report-{run}")
-    finally:
-        for name in kept:
-            store.discard(f"{name}-{run}")
+        return store.report(split_report(parts), run)
+
+
+def bring_in(spark: SparkSession, chunks: DataFrame, settings: Settings, embedder: Embedder, store: ChunkStore, reset: bool = False) -> None:
+    """Embeds what is new among chunks (staged: read several times) and upserts it."""
+    cache = VectorCache(spark, settings.store_path, settings.store_buckets)
+    with store.staging() as stage:
+        new = stage(chunks if reset else store.unknown(chunks, embedder.name))
+        texts = cache.missing(new, embedder.name)
+        cache.upsert(stage(with_embeddings(texts, embedder, "text", settings.batch_size).drop("text")))
+        rows = stage(cache.joined(new, embedder.name).withColumn("model", F.lit(embedder.name)).withColumn("metadata", F.parse_json("metadata")))
+        store.reset_to(rows) if reset else store.upsert(rows)

@@ -6,6 +6,9 @@ import os
 from dataclasses import dataclass, fields
 from pathlib import Path
 
+from .functions.template import Template
+from .functions.text import PROMPT
+
 #: Field -> environment variable; names and defaults are fixed values.
 NAMES = {
     "pdf_dir": "PDF_DIR",
@@ -20,6 +23,8 @@ NAMES = {
     "chunk_size": "CHUNK_SIZE",
     "chunk_overlap": "CHUNK_OVERLAP",
     "top_k": "TOP_K",
+    "store_buckets": "STORE_BUCKETS",
+    "prompt_template": "PROMPT_TEMPLATE",
 }
 
 
@@ -38,12 +43,17 @@ class Settings:
     chunk_overlap: int = 200
     top_k: int = 5
     batch_size: int = 64
+    store_buckets: int = 64
+    prompt_template: str = PROMPT
 
     def __post_init__(self):
         if self.chunk_size < 1 or self.chunk_overlap < 0 or self.chunk_overlap > self.chunk_size:
             raise ValueError("chunk_overlap must be from 0 to chunk_size, chunk_size at least 1")
-        if self.embed_dim < 1 or self.top_k < 1 or self.batch_size < 1:
-            raise ValueError("embed_dim, top_k and batch_size must be at least 1")
+        if self.embed_dim < 1 or self.top_k < 1 or self.batch_size < 1 or self.store_buckets < 1:
+            raise ValueError("embed_dim, top_k, batch_size and store_buckets must be at least 1")
+
+        if unknown := set(Template(self.prompt_template).slots) - {"context", "question"}:
+            raise ValueError(f"PROMPT_TEMPLATE may have the slots context and question, not {', '.join(sorted(unknown))}")
 
     @classmethod
     def load(cls, env: dict[str, str] | None = None, dotenv: str | Path | None = ".env") -> Settings:

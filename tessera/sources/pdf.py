@@ -24,7 +24,7 @@ def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def require_files(files: DataFrame, folder: str) -> DataFrame:
     if files.select("path").isEmpty():
-        raise NoSource(f"No PDFs found in {folder}")
+        raise NoSource(f"{folder} holds no *.pdf file")
     return files
 
 
