@@ -37,9 +37,9 @@ def model(generator: Generator) -> Stage:
     return table(lambda rows, column, name: with_answers(rows, generator, column, name))
 
 
-def chain(store: DataFrame, k: int, embedder: Embedder, generator: Generator, template: str = PROMPT) -> Stage:
+def chain(store: DataFrame, k: int, embedder: Embedder, generator: Generator, template: str = PROMPT, qid_col: str = "qid") -> Stage:
     """From a question to its cleaned answer."""
-    return record(context=retriever(store, k, embedder), question=passed()) | Template(template) | model(generator) | expression(strip_think)
+    return record(context=retriever(store, k, embedder, qid_col), question=passed()) | Template(template) | model(generator) | expression(strip_think)
 
 
 def answer(store: DataFrame, questions: DataFrame, k: int, embedder: Embedder, generator: Generator, template: str = PROMPT) -> DataFrame:

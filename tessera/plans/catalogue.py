@@ -22,6 +22,7 @@ from ..functions.ranking import positions
 from ..operators.stages import expression, lifted, passed, record
 from ..sources.scratch import scratch
 from ..sources.tables import pages_of, table
+from ..streaming.questions import QuestionLog, follow_questions
 
 SIZE, OVERLAP, BATCH, K, DIM = 1200, 200, 64, 5, 64
 
@@ -272,6 +273,18 @@ def question_filter(spark: SparkSession, d: str) -> DataFrame:
     return answering.asked_questions(rows, "conv_id", "turn")
 
 
+def question_stream(spark: SparkSession, d: str) -> DataFrame:
+    """question_filter's rows by way of a stream: the lines are read as one, questions go to a log that holds each once."""
+    at = scratch(spark, "questions")
+    schema = table(spark, d, "conversations").schema
+    turns = spark.readStream.schema(schema).parquet(f"{d}/conversations.parque[t]")  # by a pattern, a stream takes a file as well as a folder
+    line = F.when(F.col("role") == "system", F.lit(" \u00a0")).when(F.col("turn") == 4, F.lit("  QUIT\n")).otherwise(F.col("text"))
+    log = QuestionLog(spark, f"{at}/log", 8)
+    lines = turns.select(F.col("conv_id").cast("string").alias("session"), "turn", line.alias("text"))
+    follow_questions(lines, log, f"{at}/checkpoint", lambda asked: asked.withColumn("answer", F.lit(None).cast("string")), once=True).awaitTermination()
+    return log.answers.read().select(F.col("session").cast("long").alias("conv_id"), "turn", "question")
+
+
 #: Inline stand-ins for a server's catalogue and the needed models, fixed values.
 CATALOGUE = '{"models":[{"name":"embed-text:latest"},{"name":"chatter:7b"},{"name":"chatter:7b"},{"name":"plain"}]}'
 NEEDED = [("embed-text", 0, True), ("chat", 1, True), ("plain", 2, True), ("chatter:7b", 3, False), ("chatter_7b", 4, True), ("hidden", 5, False)]
@@ -299,7 +312,7 @@ QUERIES = {
     for f in (
         src_list, page_scan, chunk_full, chunk_small, chunk_lines, chunk_stats, chunk_index, chunk_id, chunk_id_missing_meta, batch_assign, ingest_report_, ingest_total_, upsert_merge, store_reset, cosine_pairs, topk_single,
         topk_batch, topk_collection, topk_short, context_build, context_defaults, prompt, strip_think, question_norm, question_filter, model_missing, embed_hash, answer_stub,
-        topk_by_collection, topk_pruned, upsert_buckets, embed_reuse, chunk_metadata, prompt_template, chain_compose,
+        topk_by_collection, topk_pruned, upsert_buckets, embed_reuse, chunk_metadata, prompt_template, chain_compose, question_stream,
     )
 }
 
@@ -381,6 +394,9 @@ contexts AS (
 _MISSING = "CASE WHEN lang <> 'en' THEN source END", "CASE WHEN n_chars > 1000 THEN CAST(doc_id AS VARCHAR) END"
 _WRAPPED = f"{_sql(chr(0xA0) + '<think>why' + chr(10))} || role || {_sql('</think>' + chr(9) + chr(0x2003))} || text || {_sql('<think>a<think>b</think>c</think> ' + chr(10) + '<think>open' + chr(0x3000))}"
 
+_ASKED = f"""WITH lines AS (SELECT conv_id, turn, {_strip("CASE WHEN role = 'system' THEN ' ' || chr(160) WHEN turn = 4 THEN '  QUIT' || chr(10) ELSE text END")} AS question FROM conversations)
+SELECT * FROM lines l WHERE question <> '' AND NOT EXISTS (SELECT 1 FROM lines s WHERE s.conv_id = l.conv_id AND s.turn <= l.turn AND lower(s.question) IN ('exit', 'quit'))"""
+
 ORACLE_SQL = {
     "src_list": "SELECT DISTINCT '/corpus/' || source || '.pdf' AS path, source || '.pdf' AS source_file FROM documents",
     "page_scan": f"WITH {_PAGES} SELECT * FROM pages_",
@@ -417,8 +433,8 @@ SELECT conv_id, turn, {_sql("{literal} $1 " + chr(92) + "1 ")} || context || '|'
     "prompt": f"WITH {_CONTEXTS} SELECT qid, {_sql(T.PROMPT_HEAD)} || context || {_sql(T.PROMPT_QUESTION)} || question || {_sql(T.PROMPT_END)} AS prompt FROM contexts",
     "strip_think": f"SELECT conv_id, turn, {_strip(f'regexp_replace({_WRAPPED}, {chr(39)}<think>.*?</think>{chr(39)}, {chr(39)}{chr(39)}, {chr(39)}gs{chr(39)})')} AS answer FROM conversations",
     "question_norm": f"SELECT conv_id, turn, {_strip(_sql(' ' + chr(0x2028) + chr(9)) + ' || text || ' + _sql(chr(0xA0) + chr(13) + chr(10) + chr(0x200B)))} AS question FROM conversations",
-    "question_filter": f"""WITH lines AS (SELECT conv_id, turn, {_strip("CASE WHEN role = 'system' THEN ' ' || chr(160) WHEN turn = 4 THEN '  QUIT' || chr(10) ELSE text END")} AS question FROM conversations)
-SELECT * FROM lines l WHERE question <> '' AND NOT EXISTS (SELECT 1 FROM lines s WHERE s.conv_id = l.conv_id AND s.turn <= l.turn AND lower(s.question) IN ('exit', 'quit'))""",
+    "question_filter": _ASKED,
+    "question_stream": _ASKED,
     "model_missing": "WITH installed(name) AS (VALUES ('embed-text:latest'), ('chatter:7b'), ('plain')), needed(model, priority) AS (VALUES ('embed-text', 0), ('chat', 1), ('plain', 2), ('chatter_7b', 4)) SELECT CAST(priority AS INTEGER) AS priority, model FROM needed WHERE NOT EXISTS (SELECT 1 FROM installed WHERE name = model OR starts_with(name, model || ':'))",
     "embed_hash": "SELECT item_id, CAST(CAST('0x' || substring(md5(w), 1, 8) AS BIGINT) % 768 AS INTEGER) AS bucket, count(*) AS n FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS w FROM benchmark) GROUP BY ALL",
     "answer_stub": f"WITH {_CONTEXTS} SELECT qid, {_strip('CASE WHEN context = ' + chr(39) * 2 + ' THEN ' + chr(39) + 'The context does not hold the answer.' + chr(39) + ' ELSE string_split(context, chr(10))[2] END')} AS answer FROM contexts",

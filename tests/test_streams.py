@@ -1,0 +1,79 @@
+"""Pages and questions that come bit by bit."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.operators import models
+from tessera.operators.store import ChunkStore
+from tessera.plans.answer import chain
+from tessera.plans.ingest import identified, ingest
+from tessera.settings import Settings
+from tessera.sources.tables import pages_of, table
+from tessera.streaming.pages import PAGES, follow_pages
+from tessera.streaming.questions import LINES, QuestionLog, answers_from, follow_questions
+
+DATA = "/root/testdata/sf0.001"
+
+
+def stored(spark, s):
+    return sorted((r["source_file"], r["page"], r["chunk_index"], r["id"], r["meta"]) for r in ChunkStore(spark, s.store_path, s.collection).read().withColumn("meta", F.to_json("metadata")).collect())
+
+
+def wanted(pages, s):
+    return sorted((r["source_file"], r["page"], r["chunk_index"], r["id"], r["metadata"]) for r in identified(pages, s).collect())
+
+
+def test_pages_in_any_order(spark, tmp_path):
+    s = Settings(store_path=str(tmp_path / "store"), embed_dim=4, chunk_size=8, chunk_overlap=0, store_buckets=2)
+    rows = [("f", 0, "aaa bbb ccc", '{"k":1}'), ("f", 1, " ", None), ("f", 2, "ddd", None), ("f", 3, "eee fff ggg", None), ("g", 0, "hhh", None), ("g", 1, "iii", "{}")]
+
+    def feed(*some):
+        spark.createDataFrame([rows[i] for i in some], PAGES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        follow_pages(spark, str(tmp_path / "in"), str(tmp_path / "checkpoint"), s, models.HashingEmbedder(4), once=True).awaitTermination()
+        return [x[1] for x in stored(spark, s)]
+
+    assert feed(5, 3) == []  # neither has all pages before it
+    assert feed(0, 4) == [0, 0, 0, 1]
+    assert feed(2, 3, 0) == [0, 0, 0, 1]  # page 1 isn't there yet; two pages come again
+    feed(1)
+    assert stored(spark, s) == wanted(spark.createDataFrame(rows, PAGES), s)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_documents_in_ten_files_and_a_restart(spark, tmp_path):
+    s = Settings(store_path=str(tmp_path / "store"), embed_dim=4, store_buckets=2)
+    pages = pages_of(table(spark, DATA, "documents")).withColumn("metadata", F.lit(None).cast("string"))
+    dealt = pages.withColumn("part", F.pmod(F.xxhash64("source_file", "page"), F.lit(10)))
+    for half in (F.col("part") < 5, F.col("part") >= 5):
+        dealt.filter(half).repartition(5, "part").drop("part").write.mode("append").parquet(str(tmp_path / "in"))
+        follow_pages(spark, str(tmp_path / "in"), str(tmp_path / "checkpoint"), s, models.HashingEmbedder(4), once=True, files_per_batch=3).awaitTermination()
+    assert stored(spark, s) == wanted(pages, s) != []
+
+
+def test_questions_are_answered_once(spark, tmp_path):
+    s, e = Settings(store_path=str(tmp_path / "store"), embed_dim=16, store_buckets=2), models.HashingEmbedder(16)
+    ingest(spark, spark.createDataFrame([("f", 0, "red fox"), ("f", 1, "blue sky")], "source_file string, page int, page_content string"), s, e)
+    calls = str(tmp_path / "calls")
+
+    class Counting(models.FirstLineGenerator):
+        def generate(self, prompts):
+            with open(calls, "a") as f:
+                f.writelines("x\n" for _ in prompts)
+            return super().generate(prompts)
+
+    log = QuestionLog(spark, str(tmp_path / "log"), 2)
+    put = answers_from(lambda: ChunkStore(spark, s.store_path, s.collection).read(), lambda store: chain(store, 1, e, Counting(), qid_col="id"))
+    batches = [[("a", 0, " red fox "), ("a", 1, "  "), ("b", 5, "blue sky")], [("a", 2, "blue sky"), ("a", 4, "red fox"), ("a", 3, "Quit"), (None, 0, "sky")], [("a", 9, "red fox"), ("b", 2, "exit"), ("b", 6, "red fox"), ("c", 1, "fox")]]
+    for rows in batches:
+        spark.createDataFrame(rows, LINES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        follow_questions(spark.readStream.schema(LINES).parquet(str(tmp_path / "in")), log, str(tmp_path / "checkpoint"), put, once=True).awaitTermination()
+    want = [("", 0, "blue sky"), ("a", 0, "red fox"), ("a", 2, "blue sky"), ("b", 5, "blue sky"), ("c", 1, "red fox")]
+    held = lambda: sorted((r["session"], r["turn"], r["answer"]) for r in log.answers.read().collect())
+    assert held() == want and len(open(calls).readlines()) == 5
+    for rows in batches:  # all batches once more, as after a failure
+        log.take(spark.createDataFrame(rows, LINES), put)
+    assert held() == want and len(open(calls).readlines()) == 5
+    log.take(spark.createDataFrame([], LINES), put)
+    assert held() == want
