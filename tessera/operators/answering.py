@@ -47,9 +47,27 @@ def until_exit(lines: Iterable[str]) -> Iterator[str]:
             yield asked
 
 
-def missing_models(needed: DataFrame, installed: DataFrame) -> DataFrame:
-    """Needed models (model, priority) that no installed name equals or tags (`model:tag`)."""
-    return needed.join(installed.distinct(), (F.col("name") == F.col("model")) | F.startswith(F.col("name"), F.concat(F.col("model"), F.lit(":"))), "left_anti")
+def answering_to(name: Column) -> Column:
+    """What a model may be called by whom it is installed as `name`: the name itself, and what is left of each colon (`model` for `model:tag`)."""
+    parts = F.split(name, ":")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), ":"))
+
+
+def missing_models(needed: DataFrame, installed: DataFrame, server_col: str | None = None) -> DataFrame:
+    """Needed models (model, priority) that no installed name equals or tags (`model:tag`); with server_col, of each server on its own.
+
+    Names are brought into the form in which they are asked for, so this is an equality join however many servers and models there are.
+    """
+    on = [*([server_col] if server_col else []), "model"]
+    names = installed.select(*on[:-1], F.explode(answering_to(F.col("name"))).alias("model")).distinct()
+    return needed.join(names, on, "left_anti")
+
+
+def needed_models(servers: DataFrame, embed: Column, chat: Column, asks: Column) -> DataFrame:
+    """The models that servers need, a row each: the embedding model (priority 0) always, the chat model (1) where `asks` holds."""
+    own = servers.columns
+    first = servers.select(*own, embed.alias("model"), F.lit(0).alias("priority"))
+    return first.unionByName(servers.filter(asks).select(*own, chat.alias("model"), F.lit(1).alias("priority")))
 
 
 def installed_models(catalogue: Column) -> Column:

@@ -137,5 +137,5 @@ def preflight(settings: Settings, chat: bool = True, have: set[str] | None = Non
     """An error that names the first needed model that isn't installed: the embedding model, then the chat model if it is asked for."""
     have = installed(settings.base_url) if have is None else have
     for model in [settings.embed_model, *([settings.chat_model] if chat else [])]:
-        if not any(n == model or n.startswith(f"{model}:") for n in have):
+        if not any(f"{n}:".startswith(f"{model}:") for n in have):
             raise ModelError(f"The model {model!r} is not installed.")

@@ -285,15 +285,16 @@ def question_stream(spark: SparkSession, d: str) -> DataFrame:
     return log.answers.read().select(F.col("session").cast("long").alias("conv_id"), "turn", "question")
 
 
-#: Inline stand-ins for a server's catalogue and the needed models, fixed values.
-CATALOGUE = '{"models":[{"name":"embed-text:latest"},{"name":"chatter:7b"},{"name":"chatter:7b"},{"name":"plain"}]}'
-NEEDED = [("embed-text", 0, True), ("chat", 1, True), ("plain", 2, True), ("chatter:7b", 3, False), ("chatter_7b", 4, True), ("hidden", 5, False)]
-
-
 def model_missing(spark: SparkSession, d: str) -> DataFrame:
-    installed = spark.range(1).select(F.explode(answering.installed_models(F.lit(CATALOGUE))).alias("name"))
-    needed = spark.createDataFrame(NEEDED, "model string, priority int, required boolean").filter("required")
-    return answering.missing_models(needed, installed).select("priority", "model")
+    """Each conversation as a server: its turns are the models in its catalogue, as JSON, every third one without a tag. All need `user:2` to
+    embed; those with an answer in them also need the chat model `system`. Names that only begin alike, or repeat, don't count."""
+    turns = table(spark, d, "conversations")
+    tagged = F.when(F.col("turn") % 3 == 0, F.col("role")).otherwise(F.concat_ws(":", "role", F.col("turn").cast("string"), F.lit("q4")))
+    catalogue = F.to_json(F.struct(F.collect_list(F.struct(tagged.alias("name"), "turn")).alias("models")))
+    servers = turns.groupBy("conv_id").agg(catalogue.alias("catalogue"), F.bool_or(F.col("role") == "assistant").alias("asks"))
+    installed = servers.select("conv_id", F.explode(answering.installed_models(F.col("catalogue"))).alias("name"))
+    needed = answering.needed_models(servers.select("conv_id", "asks"), F.lit("user:2"), F.lit("system"), F.col("asks"))
+    return answering.missing_models(needed, installed, "conv_id").select("conv_id", "priority", "model")
 
 
 def embed_hash(spark: SparkSession, d: str) -> DataFrame:
@@ -435,7 +436,9 @@ SELECT conv_id, turn, {_sql("{literal} $1 " + chr(92) + "1 ")} || context || '|'
     "question_norm": f"SELECT conv_id, turn, {_strip(_sql(' ' + chr(0x2028) + chr(9)) + ' || text || ' + _sql(chr(0xA0) + chr(13) + chr(10) + chr(0x200B)))} AS question FROM conversations",
     "question_filter": _ASKED,
     "question_stream": _ASKED,
-    "model_missing": "WITH installed(name) AS (VALUES ('embed-text:latest'), ('chatter:7b'), ('plain')), needed(model, priority) AS (VALUES ('embed-text', 0), ('chat', 1), ('plain', 2), ('chatter_7b', 4)) SELECT CAST(priority AS INTEGER) AS priority, model FROM needed WHERE NOT EXISTS (SELECT 1 FROM installed WHERE name = model OR starts_with(name, model || ':'))",
+    "model_missing": """WITH installed AS (SELECT conv_id, role || CASE WHEN turn % 3 = 0 THEN '' ELSE ':' || turn || ':q4' END AS name FROM conversations),
+needed AS (SELECT DISTINCT conv_id, 'user:2' AS model, CAST(0 AS INTEGER) AS priority FROM conversations UNION SELECT conv_id, 'system', 1 FROM conversations WHERE role = 'assistant')
+SELECT conv_id, priority, model FROM needed n WHERE NOT EXISTS (SELECT 1 FROM installed i WHERE i.conv_id = n.conv_id AND (i.name = n.model OR starts_with(i.name, n.model || ':')))""",
     "embed_hash": "SELECT item_id, CAST(CAST('0x' || substring(md5(w), 1, 8) AS BIGINT) % 768 AS INTEGER) AS bucket, count(*) AS n FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS w FROM benchmark) GROUP BY ALL",
     "answer_stub": f"WITH {_CONTEXTS} SELECT qid, {_strip('CASE WHEN context = ' + chr(39) * 2 + ' THEN ' + chr(39) + 'The context does not hold the answer.' + chr(39) + ' ELSE string_split(context, chr(10))[2] END')} AS answer FROM contexts",
 }

@@ -108,6 +108,15 @@ def test_models(spark, have, missing):
             models.preflight(s, have={have})
 
 
+def test_models_of_many_servers(spark):
+    installed = spark.createDataFrame([("a", "m:1:q4"), ("a", "n"), ("b", "mx"), ("b", "n_"), ("c", None)], "server string, name string")
+    needed = spark.createDataFrame([(s, m) for s in "abcd" for m in ("m", "m:1", "m:1:q4", "m:1:q", "n", "n:")], "server string, model string")
+    got = {(r["server"], r["model"]) for r in missing_models(needed, installed, "server").collect()}
+    assert got == {(s, m) for s in "abcd" for m in ("m", "m:1", "m:1:q4", "m:1:q", "n", "n:")} - {("a", m) for m in ("m", "m:1", "m:1:q4", "n")}
+    plan = missing_models(needed, installed, "server")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_unreachable_server(capsys, monkeypatch):
     monkeypatch.setenv("OLLAMA_BASE_URL", "http://127.0.0.1:9")
     assert cli.main(["ask", "x"]) == 1 and "No model server" in capsys.readouterr().err
