@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cosine_distance
 from .blocks import ASKED, asked_blocks, met, packed, ranked, simple
 
+#: Asked collections that a filter names.
+FEW = 1_000
+
 
 def top_single(store: DataFrame, question: list[float], k: int, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest rows of the store to one vector, with distance and rank from 1. Ties go to the smaller id; zero or null vectors come last, at null."""
@@ -31,11 +34,14 @@ def top_batch(store: DataFrame, questions: DataFrame, k: int, id_col: str = "id"
 def top_by_key(store: DataFrame, questions: DataFrame, k: int, key_col: str = "collection", id_col: str = "id", vector_col: str = "embedding", qid_col: str = "qid", question_col: str = "vector", block: int = ASKED) -> DataFrame:
     """top_batch() where each question is asked of its own collection (key_col of both tables), over any number of collections.
 
-    Only rows of collections that are asked take part; in a store partitioned by key_col only those are read. Blocks meet by their key, so
-    a collection of any size is many rows of the join, which splits where it is skewed. Null keys match nothing.
+    Rows of collections that nobody asks are left out first. Up to FEW asked collections (looked up while the plan is built) become a
+    filter, so a store partitioned by key_col is read in those partitions only; more are a semi-join. Blocks meet by their key, so a
+    collection of any size is many rows of the join, which splits where it is skewed. Null keys match nothing.
     """
-    asked = questions.select(key_col).distinct()
-    rows = store.join(asked, key_col, "left_semi").sortWithinPartitions(key_col)
+    keys = questions.select(key_col).filter(F.col(key_col).isNotNull()).distinct()
+    few = [r[0] for r in keys.limit(FEW + 1).collect()]
+    rows = store.filter(F.col(key_col).isin(few)) if len(few) <= FEW else store.join(keys, key_col, "left_semi")
+    rows = rows.sortWithinPartitions(key_col)
     own = packed(questions.filter(F.col(key_col).isNotNull()).sortWithinPartitions(key_col), qid_col, question_col, block, key_col)
     pairs = packed(rows, id_col, vector_col, key_col=key_col).join(asked_blocks(own), "key")
     return ranked(met(pairs, k, qid_col, id_col, simple(questions, qid_col), simple(store, id_col)), k, qid_col, id_col)

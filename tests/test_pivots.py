@@ -1,6 +1,9 @@
+import re
+
 import numpy as np
 import pytest
 
+from tessera.operators import retrieval
 from tessera.operators.blocks import packed
 from tessera.operators.pivots import PivotIndex, farthest_first, units
 from tessera.operators.retrieval import top_batch, top_by_key
@@ -70,7 +73,7 @@ def test_blocks_of_one_key(spark):
     assert got == [(None, [0, 1]), ("a", [2, 3]), ("a", [4]), ("b", [5])]
 
 
-def test_each_question_in_its_own_collection(spark):
+def test_each_question_in_its_own_collection(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(f"{i:03}", x.tolist(), [None, "a", "b", "b", "b"][i % 5]) for i, x in enumerate(rng.normal(size=(120, 5)))]
     store = spark.createDataFrame(rows, SCHEMA + ", collection string").repartition(3)
@@ -78,3 +81,16 @@ def test_each_question_in_its_own_collection(spark):
     got = plain(top_by_key(store, asked, 3, block=2))
     want = [r for c in ("a", "b") for r in plain(top_batch(store.filter(f"collection = '{c}'"), asked.filter(f"collection = '{c}'"), 3))]
     assert got == sorted(want) and len(got) == 15
+    monkeypatch.setattr(retrieval, "FEW", 1)
+    assert plain(top_by_key(store, asked, 3)) == got
+    assert plain(top_by_key(store, asked.limit(0), 3)) == plain(top_by_key(store.limit(0), asked, 3)) == []
+
+
+def test_only_asked_collections_are_read(spark, tmp_path):
+    store = spark.createDataFrame([(f"{i}", [float(i), 1.0], f"c{i % 9}") for i in range(90)], SCHEMA + ", collection string")
+    store.write.partitionBy("collection").parquet(str(tmp_path / "store"))
+    asked = spark.createDataFrame([(1, [1.0, 0.0], "c3"), (2, [1.0, 2.0], "c5")], ASKED + ", collection string")
+    found = top_by_key(spark.read.schema(store.schema).parquet(str(tmp_path / "store")), asked, 2)
+    assert len(plain(found)) == 4
+    filters = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters", found._jdf.queryExecution().executedPlan().toString())[1]
+    assert set(re.findall(r"\bc\d\b", filters)) == {"c3", "c5"}
