@@ -30,7 +30,8 @@ def run_ingest(settings: Settings, reset: bool, clean: bool, offline: bool, say:
     spark = session()
     files = require_files(pdf_files(spark, settings.pdf_dir), settings.pdf_dir)  # before anything is reset
     embedder = HashingEmbedder(settings.embed_dim) if offline else HttpEmbedder(settings)
-    report = ingest(spark, pdf_pages(files), settings, embedder, reset, clean)
+    told = lambda step, counts: say(f"{step}: " + ", ".join(f"{n} {what}" for what, n in counts.items()))
+    report = ingest(spark, pdf_pages(files), settings, embedder, reset, clean, told)
     for file, pages, chunks in report.orderBy("source_file").toLocalIterator():
         say(f"{chunks:>8} chunks of {pages:>6} pages  {file}")
     files, pages, chunks = ingest_total(report).first()

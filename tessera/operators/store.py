@@ -36,15 +36,15 @@ class ChunkStore(BucketTable):
         self.write(make)
 
     @contextmanager
-    def staging(self) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    def staging(self) -> Iterator[Callable[..., DataFrame]]:
         """Gives a function that writes rows beside the store and reads them again, so that what made them (parsing, splitting, embedding) runs
-        once. What was staged goes when the block ends, also by an error."""
+        once; `watched` may put an observation into what is written. What was staged goes when the block ends, also by an error."""
         folder = f"stage-{uuid.uuid4().hex}"
         names = (f"{self.at}/{folder}/{k}" for k in itertools.count())
 
-        def stage(rows: DataFrame) -> DataFrame:
+        def stage(rows: DataFrame, watched: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
             at = next(names)
-            rows.write.parquet(at)
+            (watched(rows) if watched else rows).write.parquet(at)
             return self.spark.read.schema(rows.schema).parquet(at)
 
         try:

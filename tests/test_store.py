@@ -125,6 +125,20 @@ def test_a_new_first_page_costs_one_page(spark, tmp_path):
     assert not list((tmp_path / "store").glob("**/stage-*"))
 
 
+def test_progress_while_the_ingest_goes_on(spark, tmp_path):
+    s, said = Settings(store_path=str(tmp_path / "store"), embed_dim=4, chunk_size=8, chunk_overlap=0, store_buckets=2), []
+    pages = spark.createDataFrame([("f", 0, "aaa bbb ccc"), ("f", 1, " "), ("g", 0, "ccc")], "source_file string, page int, page_content string")
+    for _ in range(2):
+        report = ingest(spark, pages, s, models.HashingEmbedder(4), progress=lambda step, counts: said.append((step, counts)))
+    split = ("split", {"pages": 3, "chunks": 3, "blank": 1})
+    assert said == [split, ("new", {"chunks": 3}), ("embedded", {"texts": 2}), ("stored", {"version": 1}), split, ("new", {"chunks": 0}), ("embedded", {"texts": 0}), ("stored", {"version": 1})]
+    assert sorted(tuple(r) for r in report.collect()) == [("f", 2, 2), ("g", 1, 1)]
+    said.clear()
+    none = pages.limit(0)
+    ingest(spark, none, s, models.HashingEmbedder(4), progress=lambda step, counts: said.append((step, counts)))
+    assert said[0] == ("split", {"pages": 0, "chunks": 0, "blank": 0})
+
+
 @pytest.mark.parametrize("kind", ["string", "variant"])
 def test_metadata_from_page_to_label(spark, tmp_path, kind):
     s = Settings(store_path=str(tmp_path / "store"), embed_dim=4, store_buckets=4)
