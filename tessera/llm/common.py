@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import math
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -117,6 +119,23 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+@contextmanager
+def folder(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Gives a stored() whose files go when the block ends."""
+    at = f"{shared_dir(spark)}/folder-{uuid.uuid4().hex}"
+    names = itertools.count()
+
+    def put(df: DataFrame) -> DataFrame:
+        path = f"{at}/{next(names)}"
+        df.write.option("compression", "zstd").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    try:
+        yield put
+    finally:
+        discard(spark, at)
+
+
 def discard(spark: SparkSession, at: str) -> None:
     """Deletes a folder of the shared one; nothing if it isn't there."""
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
