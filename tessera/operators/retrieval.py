@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_distance
-from .blocks import ASKED, asked_blocks, met, packed, ranked, simple
+from .blocks import ASKED, ROWS, asked_blocks, met, packed, ranked, simple
 
 #: Asked collections that a filter names.
 FEW = 1_000
+#: Slices of the distances, which go from 0 to 2, in which a question's rows are numbered where all of them are asked for.
+SLICES = 4_096
 
 
 def top_single(store: DataFrame, question: list[float], k: int, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
@@ -31,6 +33,23 @@ def top_batch(store: DataFrame, questions: DataFrame, k: int, id_col: str = "id"
     return ranked(met(pairs, k, qid_col, id_col, simple(questions, qid_col), simple(store, id_col)), k, qid_col, id_col)
 
 
+def ordered(store: DataFrame, questions: DataFrame, id_col: str = "id", vector_col: str = "embedding", qid_col: str = "qid", question_col: str = "vector", block: int = ASKED) -> DataFrame:
+    """top_batch() for a k that no store reaches: every row of the store with its rank, for each question.
+
+    The result is as large as all pairs. A question's rows are numbered in slices of its distances, and counts of slices (a row each) give what
+    comes before one, so they are never all in one task, unless they are all as far away.
+    """
+    pairs = packed(store, id_col, vector_col).crossJoin(asked_blocks(packed(questions, qid_col, question_col, block)))
+    found = met(pairs, ROWS, qid_col, id_col, simple(questions, qid_col), simple(store, id_col))
+    found = found.withColumn("_slice", F.coalesce(F.floor(F.col("distance") * (SLICES // 2)), F.lit(SLICES + 1)).cast("int"))  # null distances come last
+    counts = found.groupBy(qid_col, "_slice").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(qid_col).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col(qid_col).alias("_of"), F.col("_slice").alias("_at"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy(qid_col, "_slice").orderBy(F.asc_nulls_last("distance"), id_col))
+    out = found.withColumn("_own", own).join(starts, F.col(qid_col).eqNullSafe(F.col("_of")) & (F.col("_slice") == F.col("_at")))
+    return out.withColumn("rank", (F.col("_start") + F.col("_own")).cast("int")).select(qid_col, id_col, "distance", "rank")
+
+
 def top_by_key(store: DataFrame, questions: DataFrame, k: int, key_col: str = "collection", id_col: str = "id", vector_col: str = "embedding", qid_col: str = "qid", question_col: str = "vector", block: int = ASKED) -> DataFrame:
     """top_batch() where each question is asked of its own collection (key_col of both tables), over any number of collections.
 

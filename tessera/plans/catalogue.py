@@ -153,9 +153,9 @@ def topk_collection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def topk_short(spark: SparkSession, d: str) -> DataFrame:
-    """Five neighbours asked for in collections of three neighbouring vectors: question n in the n-th; and in a collection without rows. Every question stays."""
-    rows, asked = _stored(spark, d).withColumn("collection", F.floor(F.col("id") / 3)), _questions(spark, d).withColumn("collection", F.col("qid"))
-    found = retrieval.top_by_key(rows, asked, K).select("qid", "rank", "id")
+    """More neighbours asked for than collection 0 has, and a collection without rows: every question stays."""
+    rows, asked = _stored(spark, d), _questions(spark, d)
+    found = retrieval.ordered(rows.filter("collection = 0"), asked).select("qid", "rank", "id")
     none = retrieval.top_batch(rows.filter("collection = -1"), asked, K).select("qid", "rank", "id")
     tagged = [asked.select("qid").join(x, "qid", "left").withColumn("collection", F.lit(c)) for x, c in ((found, 0), (none, -1))]
     return tagged[0].unionByName(tagged[1])
@@ -417,7 +417,7 @@ ORACLE_SQL = {
     "topk_single": f"WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT e AS qe FROM v ORDER BY id LIMIT 1), d AS (SELECT id, list_cosine_distance(e, qe) AS distance FROM v, q) SELECT CAST(row_number() OVER (ORDER BY greatest(distance, 0), id) AS INTEGER) AS rank, id, greatest(round(distance, 6), 0.0) + 0.0 AS distance FROM d ORDER BY distance, id LIMIT {K}",
     "topk_batch": f"WITH {_QUESTIONS} SELECT qid, rank, id, round(distance, 6) + 0.0 AS distance FROM ranked WHERE rank <= {K}",
     "topk_collection": f"WITH {_QUESTIONS}, own AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS INTEGER) AS place FROM pairs WHERE collection = 1) SELECT qid, place AS rank, id, round(distance, 6) + 0.0 AS distance FROM own WHERE place <= {K}",
-    "topk_short": f"WITH {_QUESTIONS}, own AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS INTEGER) AS place FROM pairs WHERE id // 3 = qid) SELECT q.qid, o.place AS rank, o.id, 0 AS collection FROM questions q LEFT JOIN own o USING (qid) UNION ALL SELECT qid, NULL, NULL, -1 FROM questions",
+    "topk_short": f"WITH {_QUESTIONS}, own AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS INTEGER) AS place FROM pairs WHERE collection = 0) SELECT q.qid, o.place AS rank, o.id, 0 AS collection FROM questions q LEFT JOIN own o USING (qid) UNION ALL SELECT qid, NULL, NULL, -1 FROM questions",
     "topk_by_collection": f"WITH {_QUESTIONS}, own AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS INTEGER) AS place FROM pairs WHERE collection = qid % 10) SELECT qid, place AS rank, id, round(distance, 6) + 0.0 AS distance FROM own WHERE place <= {K}",
     "topk_pruned": f"WITH {_QUESTIONS} SELECT qid, rank, id, round(distance, 6) + 0.0 AS distance FROM ranked WHERE rank <= {K}",
     "upsert_buckets": """WITH held AS (SELECT CAST(CAST('0x' || substring(md5('doc-' || doc_id), 1, 8) AS BIGINT) % 256 AS INTEGER) AS bucket, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS edited FROM documents)

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import cosine_distance
 from tessera.operators.answering import contexts
-from tessera.operators.retrieval import top_batch, top_single
+from tessera.operators.retrieval import ordered, top_batch, top_single
+from tessera.plans import catalogue
 
 SCHEMA = "id string, embedding array<float>"
 
@@ -43,3 +44,27 @@ def test_wrong_length_and_empty(spark):
     none = top_batch(rows(spark).limit(0), asked, 2)
     found = contexts(none.withColumn("source_file", F.lit("f")).withColumn("page", F.lit(1)).withColumn("document", F.lit("t")), asked)
     assert [(r["qid"], r["context"]) for r in found.collect()] == [(1, "")]
+
+
+def test_all_rows_in_order(spark):
+    """Ties, null distances, a question without a vector and one without a number: as top_batch() has them for a k past the store."""
+    rng = np.random.default_rng(4)
+    stored = [(f"{i:03}", x) for i, x in enumerate(rng.normal(size=(150, 4)).tolist())] + [(f"t{i}", [1.0, 2.0, 3.0, 4.0]) for i in range(9)] + [("z", [0.0] * 4), ("n", None)]
+    store = spark.createDataFrame(stored, SCHEMA).repartition(4)
+    asked = spark.createDataFrame([(i, x) for i, x in enumerate(rng.normal(size=(5, 4)).tolist())] + [(8, [1.0, 2.0, 3.0, 4.0]), (9, None), (None, [1.0, 0.0, 0.0, 0.0])], "qid long, vector array<double>")
+    got, want = (sorted(map(repr, x.select("qid", "rank", "id", "distance").collect())) for x in (ordered(store, asked), top_batch(store, asked, 200)))
+    assert got == want and len(got) == 161 * 8
+    assert ordered(store.limit(0), asked).count() == 0 == ordered(store, asked.limit(0)).count()
+
+
+def test_topk_short_gives_all_of_its_collection(spark, tmp_path):
+    """Every row of collection 0 for every question, and every question for the collection without rows."""
+    rng = np.random.default_rng(7)
+    vectors = [(i, x, i % 3) for i, x in enumerate(rng.normal(size=(60, catalogue.DIM)).tolist())]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([(i, f"who is number {i}") for i in range(4)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = catalogue.topk_short(spark, str(tmp_path)).collect()
+    for q in range(4):
+        own = [(r["rank"], r["id"]) for r in got if r["qid"] == q and r["collection"] == 0]
+        assert sorted(r for r, _ in own) == list(range(1, 21)) and {i for _, i in own} == set(range(0, 60, 3))
+    assert sorted((r["qid"], r["rank"], r["id"]) for r in got if r["collection"] == -1) == [(q, None, None) for q in range(4)]
