@@ -14,6 +14,8 @@ from ..functions.ranking import WIDTH, running
 
 #: Tried in this order, fixed values: blank line, line end, blank, every character.
 SEPARATORS = ("\n\n", "\n", " ", "")
+#: Characters of chunks after which a task gives out what it has, and the most rows of one batch.
+GIVEN_CHARS, GIVEN_ROWS = 1 << 21, 4_096
 
 
 def pieces(text: str, separator: str) -> list[str]:
@@ -65,20 +67,30 @@ def split_text(text: str | None, size: int = 1200, overlap: int = 200, separator
 
 
 def chunk_pages(pages: DataFrame, size: int = 1200, overlap: int = 200, text_col: str = "page_content") -> DataFrame:
-    """A row per chunk: the page's other columns, pos (0-based within the page) and chunk. A page never shares a chunk with another."""
+    """A row per chunk: the page's other columns, pos (0-based within the page) and chunk. A page never shares a chunk with another.
+
+    A page's other columns come once for each of its chunks: what is as long as the page itself belongs into split_pages().
+    """
     keep = [c for c in pages.columns if c != text_col]
     rows = pages.select(F.col(text_col).cast("string").alias("_split_text"), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given(batch: pa.RecordBatch, rows: list[tuple[int, int, str]]) -> pa.RecordBatch:
+            at, pos, out = zip(*rows, strict=True)
+            places = pa.array(at, pa.int64())
+            return pa.RecordBatch.from_arrays([*(c.take(places) for c in batch.columns[1:]), pa.array(pos, pa.int32()), pa.array(out, pa.string())], [*keep, "pos", "chunk"])
+
         for batch in batches:
-            at, pos, out = [], [], []
+            rows, held = [], 0
             for i, text in enumerate(batch.column(0)):
                 for k, chunk in enumerate(split_text(text.as_py(), size, overlap)):
-                    at.append(i)
-                    pos.append(k)
-                    out.append(chunk)
-            places = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(c.take(places) for c in batch.columns[1:]), pa.array(pos, pa.int32()), pa.array(out, pa.string())], [*keep, "pos", "chunk"])
+                    rows.append((i, k, chunk))
+                    held += len(chunk)
+                    if held >= GIVEN_CHARS or len(rows) >= GIVEN_ROWS:
+                        yield given(batch, rows)
+                        rows, held = [], 0
+            if rows:
+                yield given(batch, rows)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[1:])
     return rows.mapInArrow(run, f"{schema}, pos int, chunk string")
@@ -90,9 +102,19 @@ def split_pages(pages: DataFrame, size: int = 1200, overlap: int = 200, text_col
     rows = pages.select(F.col(text_col).cast("string").alias("_split_text"), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given(batch: pa.RecordBatch, found: list[list[str]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.list_(pa.string())), pa.array(map(len, found), pa.int32())], [*keep, "chunks", "n_chunks"])
+
         for batch in batches:
-            found = [list(split_text(t.as_py(), size, overlap)) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.list_(pa.string())), pa.array(map(len, found), pa.int32())], [*keep, "chunks", "n_chunks"])
+            first, found, held = 0, [], 0
+            for i, text in enumerate(batch.column(0)):
+                found.append(list(split_text(text.as_py(), size, overlap)))
+                held += sum(map(len, found[-1]))
+                if held >= GIVEN_CHARS or len(found) >= GIVEN_ROWS:
+                    yield given(batch.slice(first, len(found)), found)
+                    first, found, held = i + 1, [], 0
+            if found:
+                yield given(batch.slice(first), found)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[1:])
     return rows.mapInArrow(run, f"{schema}, chunks array<string>, n_chunks int")

@@ -75,10 +75,13 @@ def chunk_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
-    rows = chunk_pages(_pages(spark, d).withColumn("whole", F.col("page_content")), SIZE, OVERLAP)
+    """What holds for all chunks; each page's text is beside the array of its chunks, once, and is counted there."""
+    rows = split_pages(_pages(spark, d).withColumn("whole", F.col("page_content")), SIZE, OVERLAP)
+    lengths = F.transform("chunks", F.length)
+    amiss = lambda test: F.coalesce(F.sum(F.size(F.filter("chunks", test)).cast("long")), F.lit(0))
     return rows.agg(
-        F.count("*").alias("n_chunks"), F.max(F.length("chunk")).alias("longest"), F.sum(F.length("chunk").cast("long")).alias("chars"),
-        F.count_if(F.length("chunk") > SIZE).alias("too_long"), F.count_if(~F.contains("whole", "chunk")).alias("not_in_page"), F.count_if(T.strip(F.col("chunk")) != F.col("chunk")).alias("not_stripped"),
+        F.coalesce(F.sum(F.col("n_chunks").cast("long")), F.lit(0)).alias("n_chunks"), F.max(F.array_max(lengths)).alias("longest"), F.sum(F.aggregate(lengths, F.lit(0).cast("long"), lambda n, x: n + x)).alias("chars"),
+        amiss(lambda c: F.length(c) > SIZE).alias("too_long"), amiss(lambda c: ~F.contains("whole", c)).alias("not_in_page"), amiss(lambda c: T.strip(c) != c).alias("not_stripped"),
     )
 
 
