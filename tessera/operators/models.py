@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Protocol
 from urllib.error import URLError
 from urllib.request import Request, urlopen
@@ -18,6 +20,10 @@ from ..functions.text import PROMPT
 from ..settings import Settings
 
 
+#: Words whose numbers a task remembers.
+REMEMBERED = 1 << 16
+
+
 class ModelError(RuntimeError):
     """A model server that can't be reached, or a model that isn't installed."""
 
@@ -45,12 +51,18 @@ class HashingEmbedder:
         out = []
         for text in texts:
             vector = [0.0] * self.dim
-            for word in text.split():
-                vector[int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16) % self.dim] += 1.0
+            for word, n in Counter(text.split()).items():
+                vector[word_number(word) % self.dim] += n
             out.append(vector)
         return out
 
 
+@lru_cache(REMEMBERED)
+def word_number(word: str) -> int:
+    """The first eight hex digits of a word's md5."""
+    return int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16)
+
+
 class HttpEmbedder:
     def __init__(self, settings: Settings):
         self.url, self.name, self.dim = f"{settings.base_url}/api/embed", settings.embed_model, settings.embed_dim

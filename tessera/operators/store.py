@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_key
 from .buckets import BucketTable, Conflict, last_of, merged
+from .models import Embedder, with_embeddings
 
 __all__ = ["ChunkStore", "Conflict", "VectorCache", "batches", "last_of", "merged", "without_collection"]
 
@@ -83,9 +84,20 @@ class VectorCache(BucketTable):
     def missing(self, rows: DataFrame, model: str, text_col: str = "document") -> DataFrame:
         """(content, model, text) once for each text of rows that has no vector of this model yet."""
         texts = rows.select(content_key(model, F.col(text_col)).alias("content"), F.lit(model).alias("model"), F.col(text_col).alias("text"))
-        texts = texts.groupBy("content", "model").agg(F.any_value("text").alias("text"))  # equal within a group
         base = self.manifest()
-        return texts.join(self._rows(base, self.touched(texts, base)).select("content"), "content", "left_anti")
+        some = self.touched(texts, base) if base["files"] else []  # before texts are gathered, as it is a pass of its own
+        texts = texts.groupBy("content", "model").agg(F.any_value("text").alias("text"))  # equal within a group
+        return texts.join(self._rows(base, some).select("content"), "content", "left_anti") if some else texts
+
+    def fill(self, rows: DataFrame, embedder: Embedder, text_col: str = "document") -> None:
+        """Embeds the texts of rows that have no vector of this model yet. Their vectors are staged beside the table, as an upsert reads what comes in several times."""
+        at = f"stage-{uuid.uuid4().hex}"
+        found = with_embeddings(self.missing(rows, embedder.name, text_col), embedder, "text").drop("text")
+        try:
+            found.write.parquet(f"{self.at}/{at}")
+            self.upsert(self.spark.read.schema(found.schema).parquet(f"{self.at}/{at}"))
+        finally:
+            self._delete(at)
 
     def joined(self, rows: DataFrame, model: str, text_col: str = "document") -> DataFrame:
         """rows with the column embedding; all their texts have to be in."""

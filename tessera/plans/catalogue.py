@@ -15,7 +15,7 @@ from ..functions.template import Template
 from ..operators import answering, blocks, retrieval, store
 from ..operators.buckets import BucketTable
 from ..operators.chunking import chunk_pages, numbered, split_pages
-from ..operators.models import FirstLineGenerator, HashingEmbedder, with_answers, with_embeddings
+from ..operators.models import FirstLineGenerator, HashingEmbedder, with_answers
 from ..operators.pivots import PivotIndex
 from ..operators.reports import ingest_report, ingest_total
 from ..functions.ranking import positions
@@ -189,13 +189,9 @@ def embed_reuse(spark: SparkSession, d: str) -> DataFrame:
     """Per source: texts, and how many of them had to be embedded for a store whose cache has all English texts. A text that occurs often is embedded once."""
     cache = store.VectorCache(spark, scratch(spark, "reuse"), 16)
     docs, embedder = table(spark, d, "documents").select("source", "lang", F.col("text").alias("document")), HashingEmbedder(8)
-
-    def fill(rows: DataFrame) -> None:
-        cache.upsert(with_embeddings(cache.missing(rows, embedder.name), embedder, "text").drop("text"))
-
-    fill(docs.filter("lang = 'en'"))
+    cache.fill(docs.filter("lang = 'en'"), embedder)
     known = cache.read().select("content")
-    fill(docs)
+    cache.fill(docs, embedder)
     keyed = docs.withColumn("content", T.content_key(embedder.name, F.col("document")))
     new = cache.read().select("content").join(known, "content", "left_anti").withColumn("new", F.lit(True))
     return keyed.join(new, "content", "left").groupBy("source").agg(F.count("*").alias("texts"), F.count_distinct(F.when(F.col("new"), F.col("content"))).alias("embedded"))

@@ -1,5 +1,6 @@
 """Versions of a bucketed table, vectors by content, metadata."""
 
+import hashlib
 from pathlib import Path
 
 import pytest
@@ -9,6 +10,7 @@ from tessera.functions import text as T
 from tessera.operators import models
 from tessera.operators.buckets import BucketTable, Conflict
 from tessera.operators.store import ChunkStore
+from tessera.plans import catalogue
 from tessera.plans.ingest import ingest
 from tessera.settings import Settings
 
@@ -151,3 +153,29 @@ def test_metadata_from_page_to_label(spark, tmp_path, kind):
         own = F.try_variant_get("metadata", "$.own.deep[1]", "int")
         got = stored.select(T.meta(F.col("metadata"), "producer", "unknown"), T.meta(F.col("metadata"), "n", "?"), own, F.to_json("metadata").isNull()).collect()
         assert [tuple(r) for r in got] == [("p", "3", 2, False), ("unknown", "?", None, True), ("unknown", "?", None, False)]
+
+
+def test_reuse_embeds_each_text_once(spark, tmp_path, monkeypatch):
+    """However often an upsert reads what comes in, and however many rows have a text."""
+    log = str(tmp_path / "embedded")
+
+    class Told(models.HashingEmbedder):
+        def embed(self, texts):
+            with open(log, "a") as f:
+                f.write("".join(f"{t}\n" for t in texts))
+            return super().embed(texts)
+
+    monkeypatch.setattr(catalogue, "HashingEmbedder", Told)
+    docs = [(i, f"text {i % 7}", "en" if i < 4 else "de", f"s{i % 2}") for i in range(20)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    assert held(catalogue.embed_reuse(spark, str(tmp_path))) == [("s0", 10, 3), ("s1", 10, 3)]
+    with open(log) as f:
+        assert sorted(f.read().splitlines()) == [f"text {i}" for i in range(7)]
+
+
+def test_hashed_vectors_count_words():
+    words = ["a", "b", "a", "c", "a"]
+    plain = [0.0] * 3
+    for w in words:
+        plain[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 3] += 1.0
+    assert models.HashingEmbedder(3).embed([" ".join(words), ""]) == [plain, [0.0] * 3]
