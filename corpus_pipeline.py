@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences: the stages, and run() over a whole table.
 
-Language ID drops what is in none of the corpus's languages, the quality classifier what reads like junk, of each group of near
-copies one document stays, and packing cuts what is left into sequences.
+Language ID drops what is in none of the corpus's languages, the quality classifier what reads like junk, SimHash and an exact search
+for what it misses leave one document of each group of near copies, and packing cuts what is left into sequences.
 """
 
 from __future__ import annotations
@@ -24,7 +24,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near copies: five-word shingles of a similarity of 0.8 or more."""
+    """One document, the one with the smallest id, of each group of near copies: five-word shingles of a similarity of 0.8 or more.
+
+    Pairs come from the trie join of SimHash fingerprints, each checked in full, and, past its few bits, from the exact search of nearcopies.
+    """
     return simhash.keep_one_each(docs, named=nearcopies.near_copies)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 from xxhash import xxh64_digest as digest
 
-from . import common
+from . import common, simhash
 from .components import connected_components
 
 #: Words of a shingle; the least similarity as a fraction.
@@ -255,16 +255,17 @@ def candidates(met: DataFrame, put: Callable[[DataFrame], DataFrame] = common.st
 
 
 def keyed(rows: DataFrame) -> DataFrame:
-    """Rows (_row, text) as (_row, digest of the set, n, keys, bitmap)."""
+    """Rows (_row, text) as (_row, digest of the set, n, keys, bitmap, SimHash of the set)."""
     keys = Keys(common_shingles(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py()) for t in batch.column(1)]
             columns = [batch.column(0), pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([keys.of(s) for s in sets], pa.list_(pa.int64())), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["_row", "digest", "n", "keys", "bits"])
+            columns.append(pa.array(np.array([simhash.fingerprint_of(s) for s in sets], np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, ["_row", "digest", "n", "keys", "bits", "fp"])
 
-    return rows.select("_row", "text").mapInArrow(run, "_row long, digest binary, n long, keys array<long>, bits binary")
+    return rows.select("_row", "text").mapInArrow(run, "_row long, digest binary, n long, keys array<long>, bits binary, fp long")
 
 
 def compared(pairs: DataFrame, texts: DataFrame, put: Callable[[DataFrame], DataFrame] = common.stored) -> DataFrame:
@@ -286,12 +287,26 @@ def compared(pairs: DataFrame, texts: DataFrame, put: Callable[[DataFrame], Data
     return pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def fingerprint_pairs(sets: DataFrame, put: Callable[[DataFrame], DataFrame] = common.stored) -> DataFrame:
+    """Pairs (a < b) of sets (_row, n, fp; stored) that SimHash links and whose sizes let them be alike: each set and the first of its fingerprint, and those
+    firsts whose fingerprints a trie join finds within simhash.BUDGET bits (a spanning forest of them)."""
+    prints = put(sets.groupBy("fp").agg(F.min(F.struct("_row", "n")).alias("first")).select("fp", "first.*"))
+    own = sets.join(prints.select("fp", F.col("_row").alias("a"), F.col("n").alias("n_a")), "fp").filter("_row <> a").select("a", F.col("_row").alias("b"), "n_a", F.col("n").alias("n_b"))
+    ends = [prints.select(F.col("fp").alias(of), F.col("_row").alias(row), F.col("n").alias(n)) for of, row, n in (("src", "a", "n_a"), ("dst", "b", "n_b"))]
+    across = simhash.links(prints).join(ends[0], "src").join(ends[1], "dst").select("a", "b", "n_a", "n_b")
+    near = own.unionByName(across).filter(alike(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b")))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_copies(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: its id, a unique long, and component_id, the smallest id among the documents that links reach.
 
     Documents without a word (null, empty, blank) are one group. `rows` is read several times: settle or store it before.
 
-    Sets meet in buckets, one for each key that several sets have. At first every set is compared to one of its bucket only: a bucket of n
+    SimHash comes first: fingerprints of the sets, those within a few bits found by the trie join (simhash.links), each link checked by the whole
+    sets. Its fingerprints of sets at LEAST are too far apart for any such join, so what it leaves apart is looked for exactly:
+
+    Sets meet in buckets, one for each key that several sets have; of keys with the same sets one stands for all. At first every set is compared to one of its bucket only: a bucket of n
     near copies is about n comparisons. What this leaves apart meets in blocks: the bitmaps of two sets bound what they can share, and only
     pairs that the bound leaves are compared by their texts. Bitmaps are compared within a bucket pair by pair, which grows with the square
     of a bucket whose sets aren't alike (pages of one template), but no row is made, and no text moves, for a pair that they rule out. Sets
@@ -308,22 +323,26 @@ def _near_copies(rows: DataFrame, id_col: str, text_col: str, put: Callable[[Dat
     own = put(sets.groupBy("digest").agg(F.min("_row").alias("rep"), F.count("*").alias("copies")))
     members = put(common.join_with_hot_keys(sets.select("_row", "digest"), own, "digest", "copies").select("_row", "rep"))
     single = common.parted(sets.select("_row", "n", "keys"), members.filter("_row <> rep").select("_row"), "_row")[1]
+    found = put(fingerprint_pairs(put(common.parted(sets.select("_row", "n", "fp"), members.filter("_row <> rep").select("_row"), "_row")[1]), early))
+    near = put(compared(found, texts, early))
     entries = single.select(F.explode("keys").alias("key"), "_row")
-    ends = F.min("_row").alias("lead"), F.max("_row").alias("last")  # as narrow as can be: a row for nearly every entry is shuffled
-    buckets = early(entries.groupBy("key").agg(*ends).filter("lead < last").select("key", "lead"))
+    # as narrow as can be: a row for nearly every entry is shuffled. The first set and the XOR of all sets' hashes tell which keys have the same sets
+    ends = F.min("_row").alias("lead"), F.bit_xor(F.xxhash64("_row")).alias("who")
+    shared = entries.groupBy("key").agg(*ends).filter(F.col("who") != F.xxhash64("lead"))
+    buckets = early(shared.groupBy("lead", "who").agg(F.min("key").alias("key")).select("key", "lead"))
     held = sieved(single, key_sieve(buckets.select("key"))).select(F.explode("keys").alias("key"), "_row", "n")
     met = early(held.join(buckets, "key"))
     sizes = sets.select(F.col("_row").alias("lead"), F.col("n").alias("lead_n"))
     stars = met.filter("_row <> lead").select("lead", "_row", "n").distinct().join(sizes, "lead").filter(alike(F.least("n", "lead_n"), F.col("n"), F.col("lead_n")))
-    stars = put(stars.select(F.col("lead").alias("a"), F.col("_row").alias("b")))
-    links = put(compared(stars, texts, early))
+    stars = put(stars.select(F.col("lead").alias("a"), F.col("_row").alias("b")).join(found, ["a", "b"], "left_anti"))
+    links = put(compared(stars, texts, early)).unionByName(near)
     # sets of a bucket that are not in one group yet
     groups = connected_components(links, "a", "b")
     met = put(met.join(groups.withColumnRenamed("node", "_row"), "_row", "left").select("key", "_row", "n", F.coalesce("component", "_row").alias("group")))
     done()  # what the first round needed
     apart = met.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("key")
     bits = common.parted(sets.select("_row", "bits"), put(met.join(apart, "key").select("_row").distinct()), "_row")[0]
-    more = candidates(met.join(apart, "key").join(bits, "_row"), put).join(stars, ["a", "b"], "left_anti")
+    more = candidates(met.join(apart, "key").join(bits, "_row"), put).join(stars.unionByName(found), ["a", "b"], "left_anti")
     links = links.unionByName(compared(put(more), texts, put))
     groups = connected_components(links, "a", "b")
     named = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left")

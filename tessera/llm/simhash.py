@@ -52,6 +52,15 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The SimHash of a set of 64-bit hashes: a bit is 1 if it is in over half of them; of none: 0."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = np.ascontiguousarray(hashes[at : at + (1 << 16)].astype(">u8"))
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: its id and fp, the fingerprint as a signed long."""
     rows = docs.select(F.col(text_col).cast("string").alias("_read_text"), F.col(id_col))

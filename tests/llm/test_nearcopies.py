@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import common, nearcopies
+from tessera.llm import common, nearcopies, simhash
 
 from .conftest import DOCS, EN, prose
 from .test_operators import groups
@@ -148,3 +148,45 @@ def test_pages_of_one_template(spark, monkeypatch, block):
     near = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if similarity(sets[i], sets[j]) >= 0.8]
     assert got == groups(range(len(sets)), near) and got[120] == 3 and got[121] == 50
     assert sum(seen) < 5 * len(texts)  # of 7,381 pairs
+
+
+def test_simhash_finds_the_nearest(spark, monkeypatch):
+    """With the exact search put out, what SimHash links within its bits is still found, and a link that isn't a near copy is not taken."""
+    forged = F.when(F.col("n") == 1, F.lit(0).cast("long")).otherwise(F.col("fp"))
+    real = nearcopies.keyed
+    monkeypatch.setattr(nearcopies, "keyed", lambda rows: real(rows).withColumn("keys", F.array().cast("array<long>")).withColumn("fp", forged))
+    rng, texts = random.Random(11), []
+    for _ in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(3000)]
+        texts += [" ".join(words), " ".join([*words[:1500], "changed", *words[1501:]])]
+    prints = [simhash.fingerprint_of(nearcopies.shingles(t)) for t in texts]
+    near = [(i, j) for i, j in itertools.combinations(range(24), 2) if (prints[i] ^ prints[j]).bit_count() <= simhash.BUDGET]
+    assert len(near) > 8 and all(j == i + 1 and i % 2 == 0 for i, j in near)
+    texts += ["one two", "three four five"]  # of one shingle each, which are given the same fingerprint
+    rows = common.settled(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(rows).collect()}
+    assert got == groups(range(26), near)
+
+
+def test_fingerprint_of_a_set():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 7, 100, 70_000):
+        have = np.unique(rng.integers(0, 1 << 64, n, np.uint64, endpoint=False))
+        counts = [int(((have >> np.uint64(63 - b)) & np.uint64(1)).sum()) for b in range(64)]
+        assert simhash.fingerprint_of(have) == int("".join(str(int(2 * c > n)) for c in counts), 2)
+
+
+def test_keys_of_the_same_sets_are_one_bucket(spark, monkeypatch):
+    """Two texts that are somewhat alike share many parts and meet once."""
+    rng, texts = random.Random(12), []
+    for _ in range(10):
+        words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        texts += [" ".join(words), " ".join(w if k % 40 else "changed" for k, w in enumerate(words))]
+    seen = []
+    real = nearcopies.candidates
+    monkeypatch.setattr(nearcopies, "candidates", lambda met, *a: seen.append((met.count(), met.select("key").distinct().count())) or real(met, *a))
+    rows = common.settled(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(rows).collect()}
+    sets = [plain_shingles(t) for t in texts]
+    assert all(0.7 < similarity(sets[i], sets[i + 1]) < 0.8 for i in range(0, 20, 2)) and got == {i: i for i in range(20)}
+    assert seen == [(20, 10)]
