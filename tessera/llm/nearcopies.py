@@ -5,7 +5,8 @@ D + 1 + z parts, they have more than z parts that are the same in both, so unles
 is the same: sets meet by the contents of their parts, which texts that merely share a passage hardly ever do. Sets with more than z empty parts also
 meet by the shingles of a prefix: under any one order of all shingles, alike sets share one among the first n - ceil(LEAST * n) + 1 of each.
 Shingles that a sample of documents shows to be common are left out of the parts, which keeps both bounds, and come last in the order; what the
-sample misses costs time and changes no result. Each pair that meets is compared in full.
+sample misses costs time and changes no result. Alike sets have several parts in common, not just one, so each set leaves out as many of its keys less
+one, those that the most sets have: pairs that share a passage and no more seldom meet. Each pair that meets is compared in full.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 from xxhash import xxh64_digest as digest
@@ -36,6 +37,8 @@ CLASS = 3 / 2
 SIEVE = 1 << 25
 #: Bits of a set's bitmap for each shingle, and the most there are (they travel with each key of a set); sets of a block.
 BITS, MOST_BITS, BLOCK = 4, 512, 1_024
+#: Sets of a bucket beyond which each is compared to one partner at a time, until a round joins few of them or there were so many rounds.
+CROWD, ROUNDS = 16, 3
 #: Sets that a task remembers while it compares pairs.
 REMEMBERED = 64
 
@@ -63,6 +66,15 @@ def alike(shared, a, b):
     return shared * (LEAST[0] + LEAST[1]) >= (a + b) * LEAST[0]
 
 
+@lru_cache(1 << 10)
+def turn(top: int) -> int:
+    """0 or 1 by turns for the largest sizes of classes."""
+    at, k = 1, 0
+    while at < top:
+        at, k = max(at + 1, int(at * CLASS)), k + 1
+    return k % 2
+
+
 @lru_cache(1 << 16)
 def meetings(n: int) -> list[tuple[int, int, int]]:
     """The classes (top, parts, spare) in which a set of n shingles meets others: its own, and the next one if a set there can be alike.
@@ -119,45 +131,58 @@ class Keys:
         return np.where(self.last[at] == have, self.rank[at] + 1, 0)
 
     def of(self, have: np.ndarray) -> np.ndarray:
-        rank, n, out = self.ranked(have), len(have), []
+        return self.counted(have)[0]
+
+    def counted(self, have: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """The numbers, and for even and odd ones how many at least an alike set shares. A class has either, by turns, so a set's two classes differ."""
+        rank, n, out, least = self.ranked(have), len(have), [], [1, 1]
         own = have[rank == 0]
         for top, parts, spare in meetings(n) if n else ():
+            odd = turn(top)
             place = (own % np.uint64(parts)).astype(np.int64)
             held = np.flatnonzero(np.bincount(place, minlength=parts))
             sums = np.zeros(parts, np.uint64)
             np.add.at(sums, place, own)
             tag = np.uint64(top << 32)
-            out.append(mixed(mixed(tag + held.astype(np.uint64) + np.uint64(1)) ^ sums[held]))
+            found = [mixed(mixed(tag + held.astype(np.uint64) + np.uint64(1)) ^ sums[held])]
             if parts - len(held) > spare:
                 first = have[np.lexsort((have, rank))[: n - -(-LEAST[0] * n // LEAST[1]) + 1]]
-                out.append(mixed(mixed(np.array([tag])) ^ first))
-        return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
+                found.append(mixed(mixed(np.array([tag])) ^ first))
+            # more than `spare` parts are the same; no more of them are empty in both than are empty here
+            least[odd] = max(1, spare + 1 - (parts - len(held)))
+            out += [x & ~np.uint64(1) | np.uint64(odd) for x in found]
+        return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64), least
 
 
 def bitmap(have: np.ndarray) -> np.ndarray:
-    """A set as bits, a shingle's hash modulo their number, which is a power of two: the left half OR the right is the bitmap of half the bits."""
+    """A set as bits: whether the shingles whose hashes have this remainder are odd in number. How many there are is a power of two: the left half XOR the
+    right is the bitmap of half the bits. A shingle that one of two sets lacks changes one bit, so they differ in at least as many shingles as bits."""
     n = min(MOST_BITS, max(64, 1 << (BITS * len(have)).bit_length()))
-    bits = np.zeros(n, bool)
-    bits[(have % np.uint64(n)).astype(np.int64)] = True
-    return np.packbits(bits, bitorder="little").view(np.uint64)
+    bits = np.bincount((have % np.uint64(n)).astype(np.int64), minlength=n) & 1
+    return np.packbits(bits.astype(bool), bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Rows of bitmaps, folded to so many words each."""
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, words), axis=1)
 
 
 def matrix(bitmaps: list[bytes]) -> np.ndarray:
     """Bitmaps, folded to the fewest bits among them."""
     least = min(map(len, bitmaps)) // 8
-    return np.array([np.bitwise_or.reduce(np.frombuffer(b, np.uint64).reshape(-1, least), axis=0) for b in bitmaps])
+    return np.concatenate([folded(np.frombuffer(b, np.uint64)[None], least) for b in bitmaps])
 
 
 def perhaps_alike(n_a: np.ndarray, bits_a: np.ndarray, n_b: np.ndarray, bits_b: np.ndarray) -> np.ndarray:
-    """Which of all pairs may be alike: a bit that one set has and the other lacks is a shingle that they don't share."""
+    """Which of all pairs may be alike: each bit in which they differ is a shingle that they don't share."""
     words = min(bits_a.shape[1], bits_b.shape[1])
-    a, b = (np.bitwise_or.reduce(x.reshape(len(x), -1, words), axis=1) for x in (bits_a, bits_b))
+    a, b = folded(bits_a, words), folded(bits_b, words)
     out = np.zeros((len(a), len(b)), bool)
     step = max(1, (1 << 20) // max(1, len(b) * words))
     for at in range(0, len(a), step):
-        part, own = a[at : at + step, None, :], n_a[at : at + step, None]
-        shared = np.minimum(own - np.bitwise_count(part & ~b).sum(axis=2, dtype=np.int64), n_b - np.bitwise_count(b & ~part).sum(axis=2, dtype=np.int64))
-        out[at : at + step] = alike(shared, own, n_b)
+        own = n_a[at : at + step, None]
+        differ = np.bitwise_count(a[at : at + step, None, :] ^ b).sum(axis=2, dtype=np.int64)
+        out[at : at + step] = alike(np.minimum((own + n_b - differ) // 2, np.minimum(own, n_b)), own, n_b)
     return out
 
 
@@ -179,20 +204,36 @@ def key_sieve(keys: DataFrame) -> np.ndarray:
 
 
 def sieved(sets: DataFrame, words: np.ndarray) -> DataFrame:
-    """(_row, n, keys) with those keys that are in a class of the sieve; sets that keep none go. Nothing moves."""
+    """The sets, keys last, with those keys that are in a class of the sieve; sets that keep none go. Nothing moves."""
     shared = sets.sparkSession.sparkContext.broadcast(words)
+    others = [c for c in sets.columns if c != "keys"]
+    rows = sets.select(*others, "keys")
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(len(others))
             keys, ends = np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
             kind = mixed(keys.view(np.uint64)) % np.uint64(SIEVE)
             held = (shared.value[(kind >> np.uint64(6)).astype(np.int64)] >> (kind & np.uint64(63))) & np.uint64(1) == 1
             left = np.concatenate([[0], np.cumsum(held)])[ends]
             out = pa.ListArray.from_arrays(pa.array(left, pa.int32()), pa.array(keys[held]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), out], ["_row", "n", "keys"]).filter(pa.array(np.diff(left) > 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], [*others, "keys"]).filter(pa.array(np.diff(left) > 0))
+
+    return rows.mapInArrow(run, schema)
 
-    return sets.select("_row", "n", "keys").mapInArrow(run, "_row long, n long, keys array<long>")
+
+def rarest(met: DataFrame) -> DataFrame:
+    """Of buckets' sets (key, even, odd, _row, n, need_even, need_odd; stored) those that two alike sets can't do without: (key, _row, n).
+
+    even and odd: how many keys of either kind a bucket stands for; need_: how many a set shares with any alike one. Of one order of all buckets,
+    the smallest first, take the first that two alike sets share: from there on each of them has as many keys as it shares, or more.
+    """
+    sized = met.join(met.groupBy("key").agg(F.count("*").alias("size")), "key")
+    from_here = Window.partitionBy("_row").orderBy(F.desc("size"), F.desc("key")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = sized.select("*", *(F.sum(c).over(from_here).alias(f"{c}_here") for c in ("even", "odd")))
+    enough = [(F.col(c) > 0) & (F.col(f"{c}_here") >= F.col(f"need_{c}")) for c in ("even", "odd")]
+    return sums.filter(enough[0] | enough[1]).select("key", "_row", "n")
 
 
 def blocked(met: DataFrame) -> DataFrame:
@@ -224,7 +265,12 @@ def blocked(met: DataFrame) -> DataFrame:
 
 
 def candidates(met: DataFrame, put: Callable[[DataFrame], DataFrame] = common.stored) -> DataFrame:
-    """Pairs (a < b) of sets of one key that are not in one group and may be alike by their sizes and bitmaps.
+    """Pairs (a < b) of sets of one key that are not in one group and may be alike by their sizes and bitmaps."""
+    return met_in_blocks(met, put, True)
+
+
+def met_in_blocks(met: DataFrame, put: Callable[[DataFrame], DataFrame], every: bool) -> DataFrame:
+    """The pairs of candidates(): every one, or of each set and block of others the first only.
 
     A key's sets are dealt into lanes of about BLOCK, and every lane meets every other one of the key as a whole: what is a row here is two
     blocks of sets, and pairs are rows only once their bitmaps leave them.
@@ -247,7 +293,11 @@ def candidates(met: DataFrame, put: Callable[[DataFrame], DataFrame] = common.st
                     may &= id_a[:, None] < id_b[None]
                 if may.any():
                     may &= perhaps_alike(n_a, matrix(a[3].to_pylist()), n_b, matrix(b[3].to_pylist()))
-                x, y = np.nonzero(may)
+                if not every:
+                    y = np.flatnonzero(may.any(axis=0))
+                    x = may[:, y].argmax(axis=0)
+                else:
+                    x, y = np.nonzero(may)
                 ends = np.minimum(id_a[x], id_b[y]), np.maximum(id_a[x], id_b[y])
                 yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in ends], ["a", "b"])
 
@@ -255,17 +305,19 @@ def candidates(met: DataFrame, put: Callable[[DataFrame], DataFrame] = common.st
 
 
 def keyed(rows: DataFrame) -> DataFrame:
-    """Rows (_row, text) as (_row, digest of the set, n, keys, bitmap, SimHash of the set)."""
+    """Rows (_row, text) as (_row, digest of the set, n, keys, bitmap, SimHash of the set, even and odd keys that an alike set shares at least)."""
     keys = Keys(common_shingles(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py()) for t in batch.column(1)]
-            columns = [batch.column(0), pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([keys.of(s) for s in sets], pa.list_(pa.int64())), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())]
+            found = [keys.counted(s) for s in sets]
+            columns = [batch.column(0), pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([k for k, _ in found], pa.list_(pa.int64())), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())]
             columns.append(pa.array(np.array([simhash.fingerprint_of(s) for s in sets], np.uint64).view(np.int64)))
-            yield pa.RecordBatch.from_arrays(columns, ["_row", "digest", "n", "keys", "bits", "fp"])
+            columns += [pa.array([least[odd] for _, least in found], pa.int64()) for odd in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, ["_row", "digest", "n", "keys", "bits", "fp", "need_even", "need_odd"])
 
-    return rows.select("_row", "text").mapInArrow(run, "_row long, digest binary, n long, keys array<long>, bits binary, fp long")
+    return rows.select("_row", "text").mapInArrow(run, "_row long, digest binary, n long, keys array<long>, bits binary, fp long, need_even long, need_odd long")
 
 
 def compared(pairs: DataFrame, texts: DataFrame, put: Callable[[DataFrame], DataFrame] = common.stored) -> DataFrame:
@@ -298,6 +350,13 @@ def fingerprint_pairs(sets: DataFrame, put: Callable[[DataFrame], DataFrame] = c
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def apart(met: DataFrame, groups: DataFrame, over: int = 1) -> DataFrame:
+    """The sets, each with its group, of the buckets (key, _row, ...) of more than `over` sets that aren't all in one group (node, component)."""
+    met = met.join(groups.withColumnRenamed("node", "_row"), "_row", "left").select(*met.columns, F.coalesce("component", "_row").alias("group"))
+    several = met.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("size")).filter(f"low < high AND size > {over}")
+    return met.join(several.select("key"), "key", "left_semi")
+
+
 def near_copies(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: its id, a unique long, and component_id, the smallest id among the documents that links reach.
 
@@ -306,12 +365,14 @@ def near_copies(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     SimHash comes first: fingerprints of the sets, those within a few bits found by the trie join (simhash.links), each link checked by the whole
     sets. Its fingerprints of sets at LEAST are too far apart for any such join, so what it leaves apart is looked for exactly:
 
-    Sets meet in buckets, one for each key that several sets have; of keys with the same sets one stands for all. At first every set is compared to one of its bucket only: a bucket of n
-    near copies is about n comparisons. What this leaves apart meets in blocks: the bitmaps of two sets bound what they can share, and only
-    pairs that the bound leaves are compared by their texts. Bitmaps are compared within a bucket pair by pair, which grows with the square
-    of a bucket whose sets aren't alike (pages of one template), but no row is made, and no text moves, for a pair that they rule out. Sets
-    of many shingles fill their bitmaps (MOST_BITS), which then rule out less. Buckets are counted in each task before the shuffle, and only
-    keys that are in a class of one of the shared keys move to them. What is stored on the way is deleted in the end.
+    Sets meet in buckets, one for each key that several sets have; of keys with the same sets one stands for all, and a set leaves those that the most
+    sets have (rarest). At first every set is compared to one of its bucket only: a bucket of n near copies is about n comparisons. What this leaves
+    apart meets in blocks: the bitmaps of two sets bound what they can share, and only pairs that the bound leaves are compared by their texts. In
+    buckets of more than CROWD sets that is one partner for each set and block at first, while that joins them to groups, and all that are left then.
+    Bitmaps are compared within a bucket pair by pair, which grows with the square of a bucket whose sets aren't alike (pages of one template),
+    but no row is made, and no text moves, for a pair that they rule out. Sets of many more shingles than MOST_BITS differ in half their bits if they
+    aren't alike, which then rules out less. Only keys that are in a class of one of the shared keys move to their buckets. What is stored on the way
+    is deleted in the end.
     """
     with common.folder(rows.sparkSession) as put, ExitStack() as first:
         return common.stored(_near_copies(rows, id_col, text_col, put, first.enter_context(common.folder(rows.sparkSession)), first.close))
@@ -322,28 +383,41 @@ def _near_copies(rows: DataFrame, id_col: str, text_col: str, put: Callable[[Dat
     sets = put(keyed(texts))
     own = put(sets.groupBy("digest").agg(F.min("_row").alias("rep"), F.count("*").alias("copies")))
     members = put(common.join_with_hot_keys(sets.select("_row", "digest"), own, "digest", "copies").select("_row", "rep"))
-    single = common.parted(sets.select("_row", "n", "keys"), members.filter("_row <> rep").select("_row"), "_row")[1]
-    found = put(fingerprint_pairs(put(common.parted(sets.select("_row", "n", "fp"), members.filter("_row <> rep").select("_row"), "_row")[1]), early))
+    copies = members.filter("_row <> rep").select("_row")
+    single = common.parted(sets.select("_row", "n", "need_even", "need_odd", "keys"), copies, "_row")[1]
+    found = put(fingerprint_pairs(put(common.parted(sets.select("_row", "n", "fp"), copies, "_row")[1]), early))
     near = put(compared(found, texts, early))
-    entries = single.select(F.explode("keys").alias("key"), "_row")
-    # as narrow as can be: a row for nearly every entry is shuffled. The first set and the XOR of all sets' hashes tell which keys have the same sets
+    # as narrow as can be: a row for every entry is shuffled. The first set and the XOR of all sets' hashes tell which keys have the same sets
+    entries = single.select(F.explode("keys").alias("key"), "_row").repartition("key")
     ends = F.min("_row").alias("lead"), F.bit_xor(F.xxhash64("_row")).alias("who")
     shared = entries.groupBy("key").agg(*ends).filter(F.col("who") != F.xxhash64("lead"))
-    buckets = early(shared.groupBy("lead", "who").agg(F.min("key").alias("key")).select("key", "lead"))
-    held = sieved(single, key_sieve(buckets.select("key"))).select(F.explode("keys").alias("key"), "_row", "n")
-    met = early(held.join(buckets, "key"))
-    sizes = sets.select(F.col("_row").alias("lead"), F.col("n").alias("lead_n"))
-    stars = met.filter("_row <> lead").select("lead", "_row", "n").distinct().join(sizes, "lead").filter(alike(F.least("n", "lead_n"), F.col("n"), F.col("lead_n")))
-    stars = put(stars.select(F.col("lead").alias("a"), F.col("_row").alias("b")).join(found, ["a", "b"], "left_anti"))
-    links = put(compared(stars, texts, early)).unionByName(near)
-    # sets of a bucket that are not in one group yet
+    odd = F.sum(F.col("key").bitwiseAND(F.lit(1)))
+    buckets = early(shared.groupBy("lead", "who").agg(F.min("key").alias("key"), (F.count("*") - odd).alias("even"), odd.alias("odd")).select("key", "even", "odd"))
+    held = sieved(single, key_sieve(buckets.select("key"))).withColumn("key", F.explode("keys")).drop("keys")
+    met = early(rarest(early(held.join(buckets, "key"))))
+    leads = met.groupBy("key").agg(F.min(F.struct("_row", "n")).alias("lead"), F.count("*").alias("size")).filter("size > 1").select("key", F.col("lead._row").alias("lead"), F.col("lead.n").alias("lead_n"))
+    stars = met.join(leads, "key").filter(F.col("_row") != F.col("lead")).filter(alike(F.least("n", "lead_n"), F.col("n"), F.col("lead_n")))
+    tried = put(stars.select(F.col("lead").alias("a"), F.col("_row").alias("b")).distinct().join(found, ["a", "b"], "left_anti"))
+    links = put(compared(tried, texts, early)).unionByName(near)
+    tried = tried.unionByName(found)
     groups = connected_components(links, "a", "b")
-    met = put(met.join(groups.withColumnRenamed("node", "_row"), "_row", "left").select("key", "_row", "n", F.coalesce("component", "_row").alias("group")))
+    met = put(apart(met, groups).drop("group"))
     done()  # what the first round needed
-    apart = met.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("key")
-    bits = common.parted(sets.select("_row", "bits"), put(met.join(apart, "key").select("_row").distinct()), "_row")[0]
-    more = candidates(met.join(apart, "key").join(bits, "_row"), put).join(stars.unionByName(found), ["a", "b"], "left_anti")
-    links = links.unionByName(compared(put(more), texts, put))
+    bits = common.parted(sets.select("_row", "bits"), put(met.select("_row").distinct()), "_row")[0]
+    met = put(met.join(bits, "_row"))
+    for _ in range(ROUNDS):
+        crowds = apart(met, groups, CROWD)
+        pairs = put(met_in_blocks(crowds, put, False).join(tried, ["a", "b"], "left_anti"))
+        tried, new = tried.unionByName(pairs), put(compared(pairs, texts, put))
+        n, joined = pairs.count(), new.count()
+        if joined:
+            links = links.unionByName(new)
+            groups = connected_components(links, "a", "b")
+        if 4 * joined < n or not n:
+            break
+    # sets of a bucket that are not in one group yet
+    pairs = put(candidates(apart(met, groups), put).join(tried, ["a", "b"], "left_anti"))
+    links = links.unionByName(compared(pairs, texts, put))
     groups = connected_components(links, "a", "b")
     named = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     return named.select(F.col("_row").alias(id_col), F.coalesce("component", "rep").alias("component_id"))

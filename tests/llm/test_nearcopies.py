@@ -190,3 +190,44 @@ def test_keys_of_the_same_sets_are_one_bucket(spark, monkeypatch):
     sets = [plain_shingles(t) for t in texts]
     assert all(0.7 < similarity(sets[i], sets[i + 1]) < 0.8 for i in range(0, 20, 2)) and got == {i: i for i in range(20)}
     assert seen == [(20, 10)]
+
+
+@pytest.mark.parametrize("shared_common", [0.0, 0.5, 1.0])
+def test_alike_sets_share_as_many_keys_as_they_need(shared_common):
+    rng, several = np.random.default_rng(4), 0
+    for size in [1, 2, 5, 7, 13, 20, 60, 141, 300, 1000]:
+        for _ in range(20):
+            base = rng.integers(0, 1 << 64, size, np.uint64, endpoint=False)
+            keys = nearcopies.Keys(rng.permutation(base)[: int(size * shared_common)])
+            n_b = int(rng.integers(-(-4 * size // 5), size + 1))
+            both = -(-4 * (size + n_b) // 9)
+            b = np.concatenate([rng.permutation(base)[:both], rng.integers(0, 1 << 64, n_b - both, np.uint64, endpoint=False)])
+            if both < size or n_b > both:
+                (of_a, need_a), (of_b, need_b) = keys.counted(np.unique(base)), keys.counted(np.unique(b))
+                shared = np.intersect1d(of_a, of_b)
+                assert any(np.count_nonzero(shared & 1 == odd) >= max(need_a[odd], need_b[odd]) for odd in (0, 1))
+                several += max(need_a) > 3
+    assert several > 20 or shared_common
+
+
+def test_bitmaps_rule_out_sets_at_0_7():
+    """Sets of 300 shingles, which fill a bitmap of 512 bits."""
+    rng = np.random.default_rng(6)
+    base = np.unique(rng.integers(0, 1 << 64, 300, np.uint64, endpoint=False))
+    sets = [np.unique(np.concatenate([rng.permutation(base)[:247], rng.integers(0, 1 << 64, 53, np.uint64, endpoint=False)])) for _ in range(40)]
+    n, bits = np.full(1, 300), [nearcopies.matrix([nearcopies.bitmap(s).tobytes()]) for s in [base, *sets]]
+    assert not any(nearcopies.perhaps_alike(n, bits[0], n, b)[0, 0] for b in bits[1:])
+
+
+def test_sets_that_share_a_passage_need_not_meet(spark):
+    """A bucket that stands for fewer keys than two alike sets share is left by sets that share no other; one that stands for enough is not."""
+    rows = [(1, 2, 0, r, 300, 4, 1) for r in range(10)] + [(2, 4, 0, r, 300, 4, 1) for r in (20, 21)] + [(3, 0, 1, r, 300, 4, 1) for r in (30, 31)]
+    met = spark.createDataFrame(rows, "key long, even long, odd long, _row long, n long, need_even long, need_odd long")
+    assert sorted((r["key"], r["_row"]) for r in nearcopies.rarest(met).collect()) == [(2, 20), (2, 21), (3, 30), (3, 31)]
+
+
+def test_a_crowd_meets_one_partner_at_a_time(spark):
+    have = np.unique(np.random.default_rng(7).integers(0, 1 << 64, 100, np.uint64, endpoint=False))
+    met = spark.createDataFrame([(5, i, 100, i, bytearray(nearcopies.bitmap(have).tobytes())) for i in range(40)], "key long, _row long, n long, group long, bits binary")
+    assert nearcopies.candidates(met).count() == 780
+    assert nearcopies.met_in_blocks(met, common.stored, False).count() == 39
