@@ -231,7 +231,7 @@ def words_in(text: str) -> Iterator[list[str]]:
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY) -> DataFrame:
-    """The most frequent words of a sample of about SAMPLE documents: at most `most`, cut at a whole count. Words that a task meets once are left out.
+    """The most frequent words of a sample of about SAMPLE documents: at most `most`, cut at a whole count. Words that the sample has once are left out.
 
     Only what is sent to every task hangs on this, no result does. How many words have which count decides where to cut.
     """
@@ -242,12 +242,12 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = DICTIONA
             for text in batch.column(0):
                 for words in words_in(text.as_py() or ""):
                     counts.update(words)
-        found = {w: n for w, n in counts.items() if n > 1 and len(w) <= LONGEST}
+        found = {w: n for w, n in counts.items() if len(w) <= LONGEST}
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
 
     text = F.col(text_col).cast("string")
     sample = common.bounded_sample(docs.select(text.alias("text")), F.col("text"), SAMPLE)
-    counts = common.settled(sample.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    counts = common.settled(sample.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"))
     held, cut = 0, None
     for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
         held += r["words"]

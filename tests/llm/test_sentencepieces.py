@@ -67,3 +67,10 @@ def test_only_what_is_too_long_is_folded_in_the_task(bpe):
             encoder.encode(text, {q: x for q, x in own.items() if q != p})
     with pytest.raises(ZeroDivisionError):
         encoder.encode("e" * 100, {})
+
+
+def test_frequent_words_do_not_hang_on_how_rows_are_dealt(spark):
+    """A word that each task meets once is as frequent as one that a single task meets as often; one that the whole sample has once is left out."""
+    docs = spark.createDataFrame([(i, f"often only{i}") for i in range(8)], "doc_id long, text string")
+    found = [{r["word"] for r in sentencepieces.frequent_words(docs.repartition(n)).collect()} for n in (1, 8)]
+    assert found[0] == found[1] == {sentencepieces.GAP + "often"}
